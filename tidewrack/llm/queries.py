@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import licenses, mixing, secrets
 from .common import table
 
 
@@ -12,10 +12,22 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_source_mixing": op3_source_mixing,
+    "op7_license_scan": op7_license_scan,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL = {
     "op3_source_mixing": mixing.oracle_sql(),
+    "op7_license_scan": licenses.oracle_sql(),
+    "op10_secret_scan": secrets.oracle_sql(),
 }
