@@ -35,3 +35,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def text_slices(batches, column: str, limit: int = 4_000_000):
+    """Slices of Arrow batches of about limit bytes of text at most (a longer text comes alone), to bound a worker's memory."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(sizes):
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right"))
+            stop = max(stop, at + 1)
+            yield batch.slice(at, stop - at)
+            at = stop
