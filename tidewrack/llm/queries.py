@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, pieces, quality, secrets
+from . import licenses, mixing, pieces, quality, secrets, simhash, suffix_lm
 from .common import table
 
 #: where the vocabularies of public tokenizers lie
@@ -24,6 +24,15 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.grouped(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(found["fp"]).alias("fingerprint"), "component_id")
+
+
+def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -36,6 +45,8 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_source_mixing": op3_source_mixing,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_suffix_tree_lm": op6_suffix_tree_lm,
     "op7_license_scan": op7_license_scan,
     "op10_secret_scan": op10_secret_scan,
 }
