@@ -139,9 +139,8 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
         F.sequence(F.lit(0), (size / BAND_BYTES - 1).cast("int")),
         lambda k: k * 65536 + F.conv(F.hex(F.substring(F.col("fp"), k * BAND_BYTES + 1, F.lit(BAND_BYTES))), 16, 10).cast("int"),
     )
-    dealt = distinct.where("rep IS NOT NULL").select("rep", "fp", F.explode(bands).alias("shard"))
+    dealt = distinct.select("rep", "fp", F.explode(bands).alias("shard"))
     dealt = dealt.repartition("shard").sortWithinPartitions("shard")
-    kind = distinct.schema["rep"].dataType.simpleString()
 
     def run(batches):
         ids: list = []
@@ -161,19 +160,18 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
                     ids += reps.slice(lo, hi - lo).to_pylist()
                     values += fps.slice(lo, hi - lo).to_pylist()
             if out:
-                yield _edges(pa, out, kind)
+                yield _edges(pa, out)
                 out = []
         if len(ids) > 1:
             out += star_edges(ids, [int.from_bytes(v, "big") for v in values], radius)
         if out:
-            yield _edges(pa, out, kind)
+            yield _edges(pa, out)
 
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def _edges(pa, found: list[tuple], kind: str):
-    t = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], t), pa.array([y for _, y in found], t)], ["a", "b"])
+def _edges(pa, found: list[tuple]):
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
 
 def grouped(docs: DataFrame, *, shingle: int = 3, words64: int = 1, radius: int = 3) -> DataFrame:
@@ -185,9 +183,11 @@ def grouped(docs: DataFrame, *, shingle: int = 3, words64: int = 1, radius: int
     or null. Rows that repeat stay; other columns are left out.
     """
     prints = staged(fingerprints(docs, shingle, words64), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = components(links(distinct, radius))
-    named = distinct.join(found, F.col("rep") == F.col("id"), "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("component_id"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = staged(distinct.select(F.monotonically_increasing_id().alias("rep"), "fp", "least"), "distinct-fingerprints")
+    rooted = distinct.join(components(links(distinct, radius)), F.col("rep") == F.col("id"), "left").select("fp", "least", F.coalesce("root", "rep").alias("root"))
+    least = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
+    named = rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
     return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
