@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, licenses, mixing, pieces, projections, quality, secrets, simhash, suffix_lm
+from . import html_text, licenses, media, mixing, pieces, projections, quality, secrets, simhash, suffix_lm
 from .common import table
 
 #: where the vocabularies of public tokenizers lie
@@ -24,6 +24,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.grouped(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal(found["fp"]).alias("fingerprint"), "component_id")
@@ -53,6 +57,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_source_mixing": op3_source_mixing,
+    "op4_flac_media": op4_flac_media,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_suffix_tree_lm": op6_suffix_tree_lm,
     "op7_license_scan": op7_license_scan,
