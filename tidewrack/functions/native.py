@@ -45,5 +45,5 @@ def latin1(content: Column | str) -> Column:
 def reversed_bytes(gram: Column | str) -> Column:
     """BINARY with its bytes in reverse order."""
     h = F.hex(col(gram))
-    pairs = F.transform(F.sequence(F.lit(0), F.length(h) / 2 - 1), lambda i: F.substring(h, (F.length(h) - 1 - 2 * i).cast("int"), F.lit(2)))
+    pairs = F.transform(F.sequence(F.lit(0), F.shiftright(F.length(h), 1) - 1), lambda i: F.substring(h, (F.length(h) - 1 - 2 * i).cast("int"), F.lit(2)))
     return F.when(F.length(h) == 0, col(gram)).otherwise(F.unhex(F.array_join(pairs, "")))

@@ -269,6 +269,8 @@ def _body(bits: Bits, start: int, head: Header, p: int, segment: _Segment, until
         if entry < 0 or p + (entry & 15) > bits.limit:
             raise Damaged("no code", p)
         symbol, q = entry >> 4, p + (entry & 15)
+        if until is not None and q > until:
+            break
         if symbol < 256:
             out.append(C.LITERAL | symbol)
         elif symbol == 256:
@@ -277,9 +279,11 @@ def _body(bits: Bits, start: int, head: Header, p: int, segment: _Segment, until
             raise Damaged("no such length", p)
         else:
             length, q, distance = _match(bits, head, symbol, q)
+            if until is not None and q > until:
+                break
             segment.copy(length, distance, p)
         p = q
-    raise Damaged("corruption", p)
+    raise Damaged("corruption", until if until is not None else p)
 
 
 def candidates(data: bytes, start: int, end: int) -> np.ndarray:

@@ -282,10 +282,11 @@ def local_ngrams(cells: DataFrame, max_n: int = 6) -> DataFrame:
 
 
 def accuracy(cells: DataFrame, truth: DataFrame) -> DataFrame:
-    """(id, total, identical, reconstructed, correct, correct_folded, unknown) of (id, cells) against (id, original).
+    """(id, total, identical, reconstructed, correct, correct_folded, unknown) of (id, cells) against (id, original, known_start).
 
-    The first segment is held against the beginning of the truth, the last one
-    against its end; segments between have no known place and aren't counted.
+    known_start (true where the column isn't there) says that the cells begin
+    where the truth does. If so, the first segment is held against the beginning of the truth, the last one
+    against its end; segments without a known place aren't counted.
     """
     import pyarrow as pa
 
@@ -297,12 +298,15 @@ def accuracy(cells: DataFrame, truth: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for packed, original in zip(b.column("cells").to_pylist(), b.column("original").to_pylist()):
+            for packed, original, known_start in zip(b.column("cells").to_pylist(), b.column("original").to_pylist(), b.column("known_start").to_pylist()):
                 c, t = C.unpack(packed), np.frombuffer(original or b"", dtype=np.uint8)
                 marks = np.flatnonzero(C.is_marker(c))
-                parts = [(c, t[: len(c)])] if not len(marks) and len(c) == len(t) else [(c[marks[-1] + 1 :] if len(marks) else c, None)]
-                if len(marks):
-                    parts.append((c[: marks[0]], t[: marks[0]]))
+                if not len(marks):
+                    parts = [(c[: len(t)], t[: len(c)] if known_start else None)]
+                else:
+                    parts = [(c[marks[-1] + 1 :], None)]
+                    if known_start:
+                        parts.append((c[: min(marks[0], len(t))], t[: marks[0]]))
                 sums = np.zeros(6, dtype=np.int64)
                 for cell, there in parts:
                     if there is None:
@@ -316,7 +320,8 @@ def accuracy(cells: DataFrame, truth: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(6))], ["id", *names])
 
     kind = cells.schema["id"].dataType.simpleString()
-    joined = cells.select("id", "cells").join(truth.select("id", "original"), "id")
+    start = F.col("known_start") if "known_start" in truth.columns else F.lit(True)
+    joined = cells.select("id", "cells").join(truth.select("id", "original", start.alias("known_start")), "id")
     return joined.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 

@@ -272,7 +272,7 @@ def _header(b: bytes, p: int, kind: str, lo: int) -> tuple[int, dict[str, str]]:
         n, x = u16(b, p + 26), u16(b, p + 28)
         flags, method, packed, whole = u16(b, p + 6), u16(b, p + 8), u32(b, p + 18), u32(b, p + 22)
         found = {"flags": str(flags), "method": str(method), "crc": str(u32(b, p + 14)), "compressed": str(packed), "size": str(0 if whole < packed else whole)}
-        if name := _name(b[p + 30 : p + 30 + n]):
+        if p + 30 + n <= len(b) and (name := _name(b[p + 30 : p + 30 + n])):
             found["name"] = name
         return p + lo + 30 + n + x, found
     if kind == "CentralDirEntry":

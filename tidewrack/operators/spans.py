@@ -143,6 +143,8 @@ def spans(numbered: DataFrame) -> DataFrame:
     # a zlib member ends with a checksum of 4 bytes, a chunk's stream too; a gzip member with 8
     tail = F.when((curr == "ZlibHeader") & has("R3"), 4).when(has("R4") & (curr == "gzipHeader"), 8).when(has("R11"), 4).otherwise(0)
     end = F.greatest(start, F.col("offset") - tail)
+    # before a first header at the very start there is nothing to look for
+    s = s.where(~(has("R2", "R12", "R13", "R14", "R15") & ~F.coalesce(known_start, F.lit(False)) & (end <= start)))
     return s.select(
         "blob_id",
         "archive_no",

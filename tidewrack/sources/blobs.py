@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MIB = 1024 * 1024
@@ -58,12 +58,12 @@ def stored_zip(members: DataFrame, archive: str = "archive_id", name: str = "nam
     crc = F.crc32(F.col(body))
     common = F.concat(F.lit("1400000000000000"), F.lit("2100"), le_hex(crc, 4), le_hex(size, 4), le_hex(size, 4), le_hex(name_length, 2), F.lit("0000"))
     local = F.concat(F.lit("504B0304"), common, n, F.hex(body))
+    before = Window.partitionBy("blob_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     rows = members.select(F.col(archive).alias("blob_id"), F.col(order).alias("ord"), local.alias("local"), common.alias("common"), n.alias("n"))
-    listed = rows.groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct("ord", "local", "common", "n"))).alias("m"))
-    locals_ = F.array_join(F.transform("m", lambda x: x["local"]), "")
-    before = lambda i: F.aggregate(F.slice("m", 1, i), F.lit(0).cast("long"), lambda a, x: a + F.length(x["local"]) / 2, lambda a: a.cast("long"))
-    entry = lambda x, i: F.concat(F.lit("504B01021400"), x["common"], F.lit("00000000000000000000"), le_hex(before(i), 4), x["n"])
-    central = F.array_join(F.transform("m", entry), "")
-    built = listed.select("blob_id", F.size("m").alias("count"), locals_.alias("l"), central.alias("c"))
-    end = F.concat(F.lit("504B050600000000"), le_hex(F.col("count"), 2), le_hex(F.col("count"), 2), le_hex(F.length("c") / 2, 4), le_hex(F.length("l") / 2, 4), F.lit("0000"))
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.shiftright(F.length("local"), 1)).over(before), F.lit(0)))
+    entry = F.concat(F.lit("504B01021400"), "common", F.lit("00000000000000000000"), le_hex(F.col("at"), 4), "n")
+    listed = rows.select("blob_id", F.struct("ord", "local", entry.alias("entry")).alias("r")).groupBy("blob_id").agg(F.array_sort(F.collect_list("r")).alias("m"))
+    built = listed.select("blob_id", F.size("m").alias("count"), F.array_join(F.col("m.local"), "").alias("l"), F.array_join(F.col("m.entry"), "").alias("c"))
+    half = lambda c: F.shiftright(F.length(c), 1)
+    end = F.concat(F.lit("504B050600000000"), le_hex(F.col("count"), 2), le_hex(F.col("count"), 2), le_hex(half("c"), 4), le_hex(half("l"), 4), F.lit("0000"))
     return built.select("blob_id", F.unhex(F.concat("l", "c", end)).alias("content"))
