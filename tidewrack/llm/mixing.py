@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, fresh, staged
 
 BLOCK_WORDS = 8
 SEED = 17
@@ -139,18 +139,20 @@ def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, seed: int = SEED, ma
 def mixed_documents(docs: DataFrame, *, seed: int = SEED, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them: a document that is taken
     k and a fraction times comes k times, or once more by a seeded draw at that
-    fraction, so that each source's words come near its target."""
-    mixed = mix(docs, seed=seed, **options)
+    fraction, so that each source's words come near its target. Rows that share
+    a doc_id share their mean; documents without words don't come."""
+    key, copies, number = (fresh(docs.columns, c) for c in ("mixed_id", "copies", "copy_number"))
     draw = seeded(f"{seed}:copy", F.col("doc_id")) / F.lit(float(2**32))
-    copies = mixed.select(
-        F.col("doc_id").alias("_doc_id"),
-        F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + draw)).otherwise(0).cast("int").alias("_copies"),
-    )
-    return (
-        docs.join(copies.where("_copies > 0"), docs["doc_id"].eqNullSafe(F.col("_doc_id")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*(docs[c] for c in docs.columns))
+    times = (
+        mix(docs, seed=seed, **options)
+        .groupBy("doc_id")
+        .agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+        .where("size > 0")
+        .select(F.col("doc_id").alias(key), F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias(copies))
+        .where(F.col(copies) > 0)
     )
+    joined = docs.join(times, docs["doc_id"].eqNullSafe(F.col(key)))
+    return joined.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def oracle_sql(block_words: int = BLOCK_WORDS, seed: int = SEED, max_repeat: int = MAX_REPEAT) -> str:

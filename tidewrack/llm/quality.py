@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import fresh, text_slices
 
 #: labelled rows that are fitted to at most, taken by the md5 of their doc_id
 SAMPLE_ROWS = 6000
@@ -203,13 +203,13 @@ def fitted(docs: DataFrame, labels: DataFrame) -> QualityModel:
     return pickle.loads(texts.repartition(1).mapInPandas(run, "model binary").first()["model"])
 
 
-def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of docs (doc_id alone unless said otherwise), with score added.
+def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, to: str = "score") -> DataFrame:
+    """The columns keep of docs (doc_id alone unless said otherwise), with the score added under the name to.
 
-    A null text counts as the empty one. Rows that repeat stay. The column must
-    not be called score already.
+    A null text counts as the empty one. Rows that repeat stay.
     """
     import pyarrow as pa
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
     keep = keep or ["doc_id"]
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
@@ -220,11 +220,9 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -
             held["model"] = pickle.loads(sent.value)
         for b in text_slices(batches, "text"):
             found = held["model"].scores([t or "" for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(found, pa.float64())], [*keep, "score"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(found, pa.float64())], [*keep, to])
 
-    schema = StructType([*(docs.schema[c] for c in keep), StructField("score", DoubleType())])
+    schema = StructType([*(docs.schema[c] for c in keep), StructField(to, DoubleType())])
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
@@ -236,4 +234,5 @@ def classified(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score threshold or more, with all columns of docs."""
-    return score(docs, fitted(docs, labels), docs.columns).where(F.col("score") >= threshold).select(*docs.columns)
+    name = fresh(docs.columns, "score")
+    return score(docs, fitted(docs, labels), docs.columns, name).where(F.col(name) >= threshold).select(*docs.columns)

@@ -22,6 +22,8 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 def either(word: str) -> str:
     """A regex for word, its letters in either case: spelled out, as engines fold other letters differently."""
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -256,21 +258,19 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every found span of the text replaced by mark; spans that overlap or touch are one. All columns stay.
+    """docs with every secret of the text replaced by mark. All columns stay, other texts as they are, null ones null.
 
-    The text is cut at the spans' ends in one pass over the sorted spans; a text without secrets is untouched.
+    The rules go over the text in order, each on what those before left: unlike
+    in find, what a match that is too short has passed over is looked at too.
     """
-    rules = RULES
-    queries = [trigram_query(rx) for _, rx, _, _ in rules]
-    terms = sorted(set().union(*map(trigrams, queries)))
-    posted = docs.withColumn("_posted", postings(F.coalesce("text", F.lit("")), terms))
-    text: Column = F.col("text")
-    for (_, rx, group, least), query in zip(rules, queries):
-        candidate = F.lit(True) if query is True else answer(query, lambda t: F.array_contains("_posted", t))
+    queries = [trigram_query(rx) for _, rx, _, _ in RULES]
+    posted = fresh(docs.columns, "posted")
+    out = docs.withColumn(posted, postings(F.coalesce("text", F.lit("")), sorted(set().union(*map(trigrams, queries)))))
+    for (_, rx, group, least), query in zip(RULES, queries):
         hit = _long_enough(rx, group, least)
-        posted = posted.withColumn("_hit", F.when(candidate & F.col("text").rlike(hit), F.regexp_replace("text", F.lit(hit), F.lit(mark))).otherwise(text))
-        posted = posted.withColumn("text", F.col("_hit")).drop("_hit")
-    return posted.select(*docs.columns)
+        candidate = F.lit(True) if query is True else answer(query, lambda t: F.array_contains(posted, t))
+        out = out.withColumn("text", F.when(candidate & F.col("text").rlike(hit), F.regexp_replace("text", F.lit(hit), F.lit(mark))).otherwise(F.col("text")))
+    return out.select(*docs.columns)
 
 
 def _long_enough(regex: str, group: int, least: int) -> str:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_slices
+from .common import fresh, staged, text_slices
 from .graph import components
 
 SEED = 42
@@ -201,14 +201,17 @@ WIDE = dict(shingle=5, words64=8, radius=82)
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs without near-duplicates: of each group the row with the smallest doc_id stays, of rows that repeat with the same id one.
+    """docs without near-duplicates: of each group the document with the smallest doc_id stays.
 
     Takes five words and a similarity of 0.8 unless options say otherwise: with
     shingle sets of Jaccard similarity J, a fingerprint's bit differs with
     probability arccos(2J/(1+J))/pi, 0.15 at 0.8. Two such texts share one of the
     32 bands of 16 bits with probability 0.91 at J = 0.8, 0.98 at 0.85 and 0.998
-    at 0.9. Empty texts are one group. Rows with a null doc_id stay.
+    at 0.9. Empty and null texts are one group. Rows that share a doc_id stay or
+    go together, equal texts among them once; rows with a null doc_id stay.
     """
-    groups = grouped(docs, **(WIDE | options)).where("component_id IS NOT NULL AND doc_id != component_id").select(F.col("doc_id").alias("_doc_id")).distinct()
-    kept = docs.join(groups, F.col("doc_id") == F.col("_doc_id"), "left_anti")
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    name = fresh(docs.columns, "doc_id_that_goes")
+    found = grouped(docs, **(WIDE | options)).where("doc_id IS NOT NULL")
+    gone = found.groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays")).where("NOT stays").select(F.col("doc_id").alias(name))
+    kept = docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id IS NULL"))
