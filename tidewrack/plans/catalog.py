@@ -295,13 +295,13 @@ def _damaged(spark, d):
     return lists.mapInArrow(run, "id long, body binary, known_start boolean, corrupt_from long, corrupt_to long, damage string, original binary")
 
 
-@query("damaged_recovery", "SELECT substr(source, 4)::BIGINT AS id, true AS known_are_right, true AS half_recovered FROM documents GROUP BY 1")
+@query("damaged_recovery", "SELECT substr(source, 4)::BIGINT AS id, true AS known_are_right, true AS fifth_recovered FROM documents GROUP BY 1")
 def damaged_recovery(spark, d):
     streams = staged(_damaged(spark, d), "damaged")
     found = staged(deflate.decoded(streams), "decoded")
     right = reconstruct.accuracy(found, streams)
-    return right.select("id", (F.col("identical") == F.col("total") - F.col("unknown")).alias("known_are_right"), F.lit(True).alias("half_recovered")).join(
-        found.join(streams.select(F.col("id").alias("_id"), F.length("original").alias("_n")), F.col("id") == F.col("_id")).where("known * 2 >= _n").select("id"), "id"
+    return right.select("id", (F.col("identical") == F.col("total") - F.col("unknown")).alias("known_are_right"), F.lit(True).alias("fifth_recovered")).join(
+        found.join(streams.select(F.col("id").alias("_id"), F.length("original").alias("_n")), F.col("id") == F.col("_id")).where("known * 5 >= _n").select("id"), "id"
     )
 
 
