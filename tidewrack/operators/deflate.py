@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as C
 
-LENGTH_ORDER = (16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15)
+LENGTH_ORDER = bytes.fromhex("10111200080709060a050b040c030d020e010f")
 LENGTHS = [(3 + i, 0) for i in range(8)] + [((4 + i % 4 << i // 4 - 1) + 3, i // 4 - 1) for i in range(8, 28)] + [(258, 0)]
-DISTANCES = [(1 + i, 0) for i in range(4)] + [((2 + i % 2 << i // 2 - 1) + 1, i // 2 - 1) for i in range(4, 30)]
+DISTANCES = [(1 + i, 0) for i in range(4)] + [((2 + i % 2 << i // 2 - 1) + 1, i // 2 - 1) for i in range(4, 32)]
+#: the last length code of Deflate64 has 16 more bits
+LONG_LENGTHS = [*LENGTHS[:-1], (3, 16)]
 #: a fixed-code block this short is taken for chance unless it is the whole span
 LEAST_FIXED = 3072
 SEARCH_LIMIT = 2 * 1024 * 1024 * 8
@@ -43,7 +45,9 @@ class Damaged(Exception):
 class Bits:
     """A body as one number a place: 32 bits from any bit on."""
 
-    def __init__(self, data: bytes, limit: int | None = None):
+    def __init__(self, data: bytes, limit: int | None = None, wide: bool = False):
+        """wide: the data are Deflate64."""
+        self.wide = wide
         self.data = data + b"\0" * 8
         self.limit = len(data) * 8 if limit is None else limit
 
@@ -97,7 +101,7 @@ class Codes:
         return entry >> 4, at + (entry & 15)
 
 
-FIXED = (Codes([8] * 144 + [9] * 112 + [7] * 24 + [8] * 8), Codes([5] * 30))
+FIXED = (Codes([8] * 144 + [9] * 112 + [7] * 24 + [8] * 8), Codes([5] * 32))
 
 
 @dataclass
@@ -126,7 +130,7 @@ def read_header(bits: Bits, at: int) -> Header:
     if kind == 3:
         raise Damaged("no such block", at)
     n_literals, n_distances, n_lengths = bits.take(at + 3, 5) + 257, bits.take(at + 8, 5) + 1, bits.take(at + 13, 4) + 4
-    if n_literals > 286 or n_distances > 30:
+    if n_literals > 286 or n_distances > (32 if bits.wide else 30):
         raise Damaged("too many codes", at)
     lengths = [0] * 19
     p = at + 17
@@ -194,12 +198,12 @@ def valid_header(data: bytes, at: int, fixed: bool = True) -> bool:
 
 def _match(bits: Bits, head: Header, symbol: int, at: int) -> tuple[int, int, int]:
     """Length, place behind, and distance of the copy whose length symbol was read."""
-    length, extra = LENGTHS[symbol - 257]
+    length, extra = (LONG_LENGTHS if bits.wide else LENGTHS)[symbol - 257]
     if extra:
         length += bits.take(at, extra)
         at += extra
     symbol, at = head.distances.next(bits, at)
-    if symbol > 29:
+    if symbol > (31 if bits.wide else 29):
         raise Damaged("no such distance", at)
     distance, extra = DISTANCES[symbol]
     if extra:
@@ -420,20 +424,21 @@ def resynchronise(bits: Bits, head: Header, after: int, limit: int) -> int | Non
     return heap[0] if heap else None
 
 
-def recover(data: bytes, known_start: bool = True, corrupt: tuple[int, int] | None = None) -> Decoded:
-    """Decodes a raw DEFLATE stream as far as it goes. corrupt: bytes (from, to) known to be wrong.
+def recover(data: bytes, known_start: bool = True, corrupt: tuple[int, int] | None = None, deflate64: bool = False) -> Decoded:
+    """Decodes a raw DEFLATE (or Deflate64) stream as far as it goes. corrupt: bytes (from, to) known to be wrong.
 
     A break gives a marker, and a segment of its own to what follows; co-indices
     of segment k begin at k windows.
     """
-    if known_start and corrupt is None:
+    if known_start and corrupt is None and not deflate64:
         whole = _intact(data)
         if whole is not None:
             return Decoded([C.LITERAL | b for b in whole], [], 0, True)
-    bits = Bits(data)
+    bits = Bits(data, wide=deflate64)
+    window = 2 * C.WINDOW if deflate64 else C.WINDOW
     out = Decoded()
     bad = None if corrupt is None else (corrupt[0] * 8, corrupt[1] * 8)
-    segment = _Segment(0, known_start)
+    segment = _Segment(0, known_start, window)
     at: int | None = 0 if known_start else next_block(data, bits, 0)
     if not known_start:
         out.discontinuities = 1
@@ -443,7 +448,7 @@ def recover(data: bytes, known_start: bool = True, corrupt: tuple[int, int] | No
         out.cells += segment.cells
         out.cells.append(C.DISCONTINUITY)
         out.discontinuities += 1
-        segment = _Segment(out.discontinuities if known_start else out.discontinuities - 1, False)
+        segment = _Segment(out.discontinuities if known_start else out.discontinuities - 1, False, window)
 
     while at is not None and at < bits.limit:
         try:
@@ -521,13 +526,13 @@ def deflated(bodies: DataFrame, level: int = 6) -> DataFrame:
 def decoded(streams: DataFrame) -> DataFrame:
     """(id, cells, bytes, known, unknown, discontinuities, blocks, complete) of raw DEFLATE streams.
 
-    Columns known_start (default true), corrupt_from and corrupt_to (bytes) are
-    used where they are there. cells are packed 32-bit numbers; a null body has
+    Columns known_start (default true), corrupt_from and corrupt_to (bytes), and
+    deflate64 are used where they are there. cells are packed 32-bit numbers; a null body has
     none.
     """
     import pyarrow as pa
 
-    columns = [c for c in ("known_start", "corrupt_from", "corrupt_to") if c in streams.columns]
+    columns = [c for c in ("known_start", "corrupt_from", "corrupt_to", "deflate64") if c in streams.columns]
 
     def run(batches):
         for b in batches:
@@ -538,7 +543,8 @@ def decoded(streams: DataFrame) -> DataFrame:
                 bad = None
                 if "corrupt_from" in extra and extra["corrupt_from"][i] is not None:
                     bad = (extra["corrupt_from"][i], extra["corrupt_to"][i])
-                d = recover(body, bool(known), bad) if body is not None else Decoded()
+                wide = "deflate64" in extra and bool(extra["deflate64"][i])
+                d = recover(body, bool(known), bad, wide) if body is not None else Decoded()
                 cells = np.array(d.cells, dtype="<u4")
                 unknown = int(C.is_unknown(cells).sum())
                 size = len(cells) - int(C.is_marker(cells).sum())
@@ -551,6 +557,21 @@ def decoded(streams: DataFrame) -> DataFrame:
     return streams.select("id", "body", *columns).mapInArrow(run, f"id {kind}, cells binary, bytes long, known long, unknown long, discontinuities int, blocks int, complete boolean")
 
 
+def literal_cells(bodies: DataFrame) -> DataFrame:
+    """(id, cells, bytes, known, unknown, discontinuities, complete) of bodies (id, body) that weren't compressed."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            found = [(np.frombuffer(x or b"", dtype=np.uint8).astype("<u4") | np.uint32(C.LITERAL)).tobytes() for x in b.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], ["id", "cells"])
+
+    kind = bodies.schema["id"].dataType.simpleString()
+    made = bodies.select("id", "body").mapInArrow(run, f"id {kind}, cells binary")
+    size = (F.length("cells") / 4).cast("long")
+    return made.select("id", "cells", size.alias("bytes"), size.alias("known"), F.lit(0).cast("long").alias("unknown"), F.lit(0).alias("discontinuities"), F.lit(True).alias("complete"))
+
+
 def packets(streams: DataFrame) -> DataFrame:
     """(id, packet_no, start_bit, body_bit, end_bit, kind, final, offset, size) of the blocks of raw DEFLATE streams (id, body)."""
     import pyarrow as pa

@@ -231,14 +231,23 @@ def apply_replacements(cells: DataFrame, replacements: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, cells.schema)
 
 
-def reconstruct(cells: DataFrame, ngrams: DataFrame, averages: DataFrame | None = None, rounds: int = 4, encoding: str = "utf8", aggressive: bool = True, local_weight: float | None = None) -> DataFrame:
+def reconstruct(cells: DataFrame, ngrams: DataFrame, averages: DataFrame | None = None, rounds: int = 4, encoding: str = "utf8", aggressive: bool = True, align: bool = True, local_weight: float = 0.0, prune: bool = False) -> DataFrame:
     """cells (id, cells, ...) with unknown bytes inferred from ngrams (n, gram, freq), in rounds.
 
+    local_weight adds the counts of the cells' own literal runs, so weighted, to
+    the model's; prune leaves out candidates below 0.2 of their unknown's best;
+    align, last, takes from before a gap what agrees with the bytes found behind it.
+
     Each round takes the surest of each span, the last one all whose best byte is
     1.2 times the second. Rounds are written to the shared folder. It ends early
     when no unknown has a score. The order is confidence, then co-index.
     """
     grams = ngrams.groupBy("n", "gram").agg(F.sum("freq").alias("freq"))
+    if local_weight:
+        own = local_ngrams(cells).groupBy("n", "gram").agg(F.sum("freq").alias("freq"))
+        both = grams.select("n", "gram", F.col("freq").cast("double").alias("freq")).unionByName(own.select("n", "gram", (F.col("freq") * local_weight).alias("freq")))
+        grams = staged(both.groupBy("n", "gram").agg(F.sum("freq").alias("freq")), "grams")
+    made: list[DataFrame] = []
     for k in range(rounds):
         found = staged(occurrences(cells), "occurrences")
         if found.isEmpty():
@@ -246,12 +255,23 @@ def reconstruct(cells: DataFrame, ngrams: DataFrame, averages: DataFrame | None
         scores = [side_scores(found, grams, "left"), side_scores(found, grams, "right")]
         if averages is not None:
             scores.append(center_scores(found, grams, averages))
-        rank = staged(ranked(top_two(summed(found, scores, encoding))), "ranked")
+        totals = summed(found, scores, encoding)
+        if prune:
+            totals = staged(totals, "totals")
+            totals = totals.join(unsupported(totals), ["id", "coindex", "byte"], "left_anti")
+        rank = staged(ranked(top_two(totals)), "ranked")
         last = k == rounds - 1
         fixed = chosen(rank, ratio=FINAL_RATIO if last and aggressive else None, share=TOP_SHARE if last or not aggressive else 0.5)
         if aggressive and not last:
             fixed = fixed.unionByName(chosen(rank, ratio=AGGRESSIVE_RATIO)).dropDuplicates(["id", "coindex"])
+        fixed = staged(fixed, "replacements")
+        made.append(fixed)
         cells = staged(apply_replacements(cells, fixed), "cells")
+    if align and made:
+        known = made[0]
+        for m in made[1:]:
+            known = known.unionByName(m)
+        cells = aligned(cells, known)
     return cells
 
 
@@ -325,21 +345,27 @@ def accuracy(cells: DataFrame, truth: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
-def aligned(cells: DataFrame, weights: dict[int, float] | None = None) -> DataFrame:
+def aligned(cells: DataFrame, replacements: DataFrame, weights: dict[int, float] | None = None) -> DataFrame:
     """cells with unknowns behind a gap taken from the literals before it, where the two agree at one offset.
 
-    The bytes reconstructed for a segment's lost window are slid along the end of
-    the segment before; the offset with the best weighted agreement, of twelve
-    matches or more and none but matches in the majority, fixes the rest.
+    The bytes that replacements (id, coindex, byte) give a segment's lost window
+    are slid along the end of the segment before; the offset with the best
+    weighted agreement, of twelve matches or more and most of them, fixes the rest.
     """
     import pyarrow as pa
 
+    lists = replacements.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("coindex", "byte")).alias("_r"))
+    joined = cells.join(lists, F.col("id") == F.col("_id"), "left").select(*cells.columns, "_r")
+
     def run(batches):
         for b in batches:
-            out = [_align(C.unpack(p), weights).astype("<u4").tobytes() for p in b.column("cells").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if n == "cells" else b.column(n) for n in b.schema.names], b.schema.names)
+            out = []
+            for p, r in zip(b.column("cells").to_pylist(), b.column("_r").to_pylist()):
+                out.append(_align(C.unpack(p), weights, {x["coindex"]: x["byte"] for x in r or []}).astype("<u4").tobytes())
+            names = [n for n in b.schema.names if n != "_r"]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if n == "cells" else b.column(n) for n in names], names)
 
-    return cells.mapInArrow(run, cells.schema)
+    return joined.mapInArrow(run, cells.schema)
 
 
 def _align(c: np.ndarray, weights: dict[int, float] | None, known: dict[int, int] | None = None) -> np.ndarray:

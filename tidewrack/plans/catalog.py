@@ -15,6 +15,7 @@ from ..operators import corruption, deflate, language, ngrams, reconstruct, sign
 from ..operators.signatures import ScanOptions
 from ..sources import blobs, sinks
 from ..sources.staging import staged
+from . import recover
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -455,3 +456,49 @@ def chunked_ingest(spark, d):
     chunked.written(stream, f"{root}/out", f"{root}/checkpoint").start().awaitTermination()
     found = spark.read.schema(signatures.SCHEMA).parquet(f"{root}/out").where("sig_type = 'LocalFileHeader'")
     return found.select("blob_id", "offset", F.col("attrs")["name"].alias("name"))
+
+
+def _mixed_zips(spark, d):
+    """Archives of deflated members for conversations of even numbers, of stored ones for the others."""
+    members = _members(spark, d)
+    packed = deflate.deflated(members.select(F.struct("archive_id", "ord", "name").alias("id"), "body")).select("id.*", "body", "original")
+    return blobs.stored_zip(packed.where("archive_id % 2 = 0"), original="original").unionByName(blobs.stored_zip(members.where("archive_id % 2 = 1")))
+
+
+@query("recover_members", "SELECT conv_id AS blob_id, 'turn' || turn || '.txt' AS name, octet_length(encode(text))::BIGINT AS bytes, octet_length(encode(text))::BIGINT AS known, true AS complete, sha256(encode(text)) AS sha256 FROM conversations")
+def recover_members(spark, d):
+    found = staged(recover.recover_members(staged(_mixed_zips(spark, d), "zips")), "members")
+    text = sinks.plain_text(found.select(F.col("member_id").alias("id"), "cells")).select("id", F.sha2("body", 256).alias("sha256"))
+    return found.join(text, F.col("member_id") == F.col("id")).select("blob_id", "name", "bytes", "known", "complete", "sha256")
+
+
+@query("recover_text", "SELECT 'turn' || turn || '.txt' AS name, text AS body FROM conversations")
+def recover_text(spark, d):
+    return recover.recover(staged(_mixed_zips(spark, d), "zips")).select("name", F.decode("body", "UTF-8").alias("body"))
+
+
+@query(
+    "recovery_statistics",
+    """WITH s AS (SELECT count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS b FROM conversations)
+SELECT metric, value FROM (SELECT unnest(['members', 'complete', 'bytes', 'known_bytes', 'unknown_bytes', 'discontinuities', 'zip_members']) AS metric, unnest([n, n, b, b, 0, 0, n]) AS value FROM s)""",
+)
+def recovery_statistics(spark, d):
+    return recover.statistics(recover.recover_members(staged(_mixed_zips(spark, d), "zips")))
+
+
+@query("packet_histogram", "SELECT 1::BIGINT AS packets, count(*) AS members FROM documents HAVING count(*) > 0")
+def packet_histogram(spark, d):
+    """Of documents short enough for one block."""
+    short = bodies(spark, d).withColumn("body", F.substring("body", 1, 8000))
+    return recover.packet_histogram(deflate.packets(deflate.deflated(short)))
+
+
+@query("gzip_recovery", "SELECT doc_id AS blob_id, octet_length(encode(text))::BIGINT AS bytes, true AS complete FROM documents")
+def gzip_recovery(spark, d):
+    """gzip members made of documents, each a blob."""
+    made = _streams(spark, d).select(
+        F.col("id").alias("blob_id"),
+        F.concat(F.unhex(F.lit("1F8B0800000000000003")), "body", F.unhex(F.concat(blobs.le_hex(F.crc32("original"), 4), blobs.le_hex(F.length("original"), 4)))).alias("content"),
+    )
+    options = recover.RecoverOptions(scan=ScanOptions(input_format="gzip"))
+    return recover.recover_members(staged(made, "gzips"), options).where("span_no = 1").select("blob_id", "bytes", "complete")

@@ -48,15 +48,16 @@ def le_hex(n: Column, size: int) -> Column:
     return F.concat(*(F.substring(h, 2 * i + 1, 2) for i in reversed(range(size))))
 
 
-def stored_zip(members: DataFrame, archive: str = "archive_id", name: str = "name", body: str = "body", order: str = "ord") -> DataFrame:
+def stored_zip(members: DataFrame, archive: str = "archive_id", name: str = "name", body: str = "body", order: str = "ord", original: str | None = None) -> DataFrame:
     """(blob_id, content): one ZIP archive of stored members for each archive_id, members in order.
 
-    An archive's members are brought together, as they have to lie in one blob.
+    With original, body holds the deflated member and original what it was. An archive's members are brought together, as they have to lie in one blob.
     """
     n, size = F.hex(F.encode(F.col(name), "UTF-8")), F.length(body)
     name_length = F.length(F.encode(F.col(name), "UTF-8"))
-    crc = F.crc32(F.col(body))
-    common = F.concat(F.lit("1400000000000000"), F.lit("2100"), le_hex(crc, 4), le_hex(size, 4), le_hex(size, 4), le_hex(name_length, 2), F.lit("0000"))
+    whole = F.col(original or body)
+    method = F.lit("0800" if original else "0000")
+    common = F.concat(F.lit("14000000"), method, F.lit("00002100"), le_hex(F.crc32(whole), 4), le_hex(size, 4), le_hex(F.length(whole), 4), le_hex(name_length, 2), F.lit("0000"))
     local = F.concat(F.lit("504B0304"), common, n, F.hex(body))
     before = Window.partitionBy("blob_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     rows = members.select(F.col(archive).alias("blob_id"), F.col(order).alias("ord"), local.alias("local"), common.alias("common"), n.alias("n"))
