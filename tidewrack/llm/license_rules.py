@@ -74,7 +74,7 @@ apache-2.0;4;apache;apache 2(?: 0)?(?: license)?
 apache-2.0;4;asl;asl 2(?: 0)?
 apache;6;apache;(?:the )?apache (?:software )?license
 apache-2.0;5;licenses;www apache org licenses license 2 0
-apache-2.0;5;copyright;licensed to the apache software foundation asf under one or more contributor license agreements
+apache-2.0;5;contributor;licensed to the apache software foundation asf under one or more contributor license agreements
 mit;6;mit;(?:the )?mit license
 mit;6;mit;(?:the )?mit x11 license
 mit;6;expat;(?:the )?expat license
@@ -181,7 +181,7 @@ bsl-1.0;8;boost;boost software license(?: version)? 1 0
 bsl-1.0;6;boost;boost software license
 zlib;6;zlib;(?:the )?zlib(?: libpng)? license
 zlib;5;provided;this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages
-libpng;6;libpng;(?:the )?(?:png reference library|libpng) license
+libpng;6;png;(?:the )?(?:png reference library|libpng) license
 unlicense;6;unlicense;(?:the )?unlicense
 unlicense;5;unencumbered;this is free and unencumbered software released into the public domain
 wtfpl;6;wtfpl;wtfpl(?: version 2)?
@@ -257,7 +257,7 @@ proprietary;5;rights;all rights reserved(?: worldwide)?
 proprietary;5;confidential;proprietary and confidential
 proprietary;5;license;end user license agreement
 proprietary;5;commercial;commercial license(?: agreement)?
-proprietary;4;permission;no part of this (?:publication|work|book) may be reproduced
+proprietary;4;reproduced;no part of this (?:publication|work|book) may be reproduced
 proprietary;4;permission;without (?:the )?(?:express |prior )?written permission of the (?:publisher|author|copyright holder)
 unknown;3;license;(?:see|read) the license file(?: for details)?
 unknown;3;licensed;this (?:work|software|project|file|document|text|content) is licensed under
