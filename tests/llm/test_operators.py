@@ -298,6 +298,36 @@ def test_license_cases(spark):
     assert len({r[3] for r in licenses._rules()}) > 20 and len(licenses._rules()) > 200
 
 
+def strings_of(items):
+    """Strings that a rule's parsed regex matches: with and without what is optional, with every alternative."""
+    out = [""]
+    for op, arg in items:
+        name = str(op)
+        if name == "LITERAL":
+            one = [chr(arg)]
+        elif name == "IN":
+            one = [chr(x if str(kind) == "LITERAL" else x[0]) for kind, x in arg[:2]]
+        elif name == "SUBPATTERN":
+            one = strings_of(arg[-1])
+        elif name == "BRANCH":
+            one = [s for x in arg[1] for s in strings_of(x)]
+        else:
+            least, _, inner = arg
+            one = strings_of(inner) + ([""] if least == 0 else [])
+        out = [a + b for a in out for b in one][:5000]
+    return out
+
+
+def test_no_rule_is_behind_the_gate():
+    import re
+    from re import _parser
+
+    gate = re.compile(licenses.gate_regex().replace("\\x{80}", "\x80"))
+    for _, _, _, keyword, rx in licenses._rules():
+        for s in strings_of(_parser.parse(rx)):
+            assert gate.search(" ".join(s.split())) and keyword in s, s
+
+
 # ---- 8 main text
 
 
