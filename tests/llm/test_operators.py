@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import assert_same
 from tidewrack.llm import flac, graph, html_text, licenses, media, mixing, pieces, projections, quality, queries, secrets, simhash, suffix_lm
@@ -279,6 +280,27 @@ def test_next_words_sum_to_one(spark):
         assert math.isclose((10**logs).sum() + 10 ** unseen[0], 1, rel_tol=1e-9)
 
 
+def test_contexts_grow_with_the_corpus(spark):
+    """Pairs below any share of the whole are learned; buckets, split words too, give the whole tree's scores."""
+    rng = random.Random(7)
+    texts = [f"x{k % 400} y{k % 400} z{k % 400} " + " ".join(rng.choice("a b c d e f".split()) for _ in range(30)) + (" rare%d" % k if k % 3 else "") for k in range(12_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = sorted({w for t in texts for w in suffix_lm.words_of(t) if not w.startswith(b"rare")})
+    counts = Counter(w for t in texts for w in suffix_lm.words_of(t))
+    numbers = np.array([float(len(texts))] + [float(counts[w]) for w in words])
+    rows = staged(suffix_lm.encoded(docs, [suffix_lm.END, *words]), "t").withColumn("held_out", F.lit(False))
+    total, distinct = sum(counts.values()) + len(texts), len(counts) + 1
+    tree = suffix_lm.learned(rows, numbers, total, distinct)
+    assert max(counts[b"y%d" % k] for k in range(400)) < 2e-4 * total
+    assert (tree.steps[0] == words.index(b"y7") + 1).any()
+    ids = {r.row: np.array(r.ids) for r in rows.select("row", "ids").collect()}
+    first = np.zeros(1, dtype=np.int64)
+    right = {k: (tree.score(x, first) - np.where(x >= 0, tree.base[np.maximum(x, 0)], 0)).sum() for k, x in ids.items() if k % 97 == 0}
+    for limit in (1_000_000, 5_000):
+        found = {r.row: r.gain for r in suffix_lm.context_gains(rows, numbers, tree.base, limit=limit).collect()}
+        assert all(math.isclose(found.get(k, 0), g, rel_tol=1e-9, abs_tol=1e-9) for k, g in right.items())
+
+
 # ---- 7 licenses
 
 
