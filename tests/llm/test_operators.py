@@ -366,6 +366,20 @@ def test_main_text():
     assert len(html_text.extract("<p>" + "word, " * 100_000)) > 500_000
 
 
+def test_all_selected_text_stays():
+    one, two, three = ("".join(f"{w} sentence {k}, with some words. " for k in range(n)).strip() for w, n in (("First", 9), ("Second", 6), ("Third", 1)))
+    lead = "A lead, of some length, goes before the articles."
+    menu = "<nav><a href=/>m</a></nav>"
+    several = f"<body>{menu}<main><h1>Head</h1><p>{lead}</p><article><p>{one}</p></article><article><p>{two}</p></article></main>"
+    assert html_text.extract(several).split("\n") == ["Head", lead, one, two]
+    alone = f"<body>{menu}<article><p>{one}</p></article><div><a href=x>more</a></div><article><p>{two}</p></article>"
+    assert html_text.extract(alone).split("\n") == [one, two]
+    split = f"<body>{menu}<div><p>{three}</p></div><div><p>{one}</p><p>{two}</p></div><div><a href=x>more</a></div>"
+    assert html_text.extract(split).split("\n") == [three, one, two]
+    headed = f"<body><main><h1>Head</h1><article><p>{one}</p></article></main>"
+    assert html_text.extract(headed).split("\n") == ["Head", one]
+
+
 def test_pages(spark, sf_dir):
     found = queries.op8_main_text(spark, sf_dir).collect()
     assert len(found) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()

@@ -3,8 +3,8 @@
 Every text node has a tag path, from the root to it. Lengths and punctuation
 are added up by path and give each node its path's ratios (text, punctuation
 and linked share a node); these are smoothed along the page, fused and held
-against a threshold. What passes decides the content element: the deepest
-container that holds nearly all of it. All text in that is the result, but for
+against a threshold. What passes decides the content elements: the deepest
+containers that together hold all of it. All text in them is the result, but for
 what its elements or their class and id names mark as something else (menus,
 adverts, forms, comments, ...).
 
@@ -55,6 +55,8 @@ MARKS = frozenset(
     "related recommend recommended recommendations reply replies respond responses search searchbox share sharing sidebar sidenav signup skip social sponsor sponsored sponsors subscribe subscription "
     "tags teaser toolbar topbar tracking widget widgets banners sidecolumn rail outbrain taboola paywall overlay toc complementary contentinfo alert".split()
 )
+#: containers that give way to those in them where these hold all selected text; others stay whole
+LAYOUT = frozenset("#root html body center div section".split())
 #: names that mark content even beside one of the above
 CONTENT_MARKS = frozenset("article content main story entry post body text".split())
 
@@ -138,8 +140,8 @@ def parse(html: str):
     return tags, parents, linked, nodes
 
 
-def path_scores(paths: list[str], lengths: list[int], marks: list[int], linked: list[int], window: int = 2) -> list[float]:
-    """Each node's fused score: its path's text and punctuation a node, without linked text, smoothed along the page."""
+def path_scores(paths: list[str], lengths: list[int], marks: list[int], linked: list[int], window: int = 2) -> tuple[list[float], list[float]]:
+    """Each node's fused score, its path's text and punctuation a node without linked text: as it is, and smoothed along the page."""
     sums: dict[str, list[float]] = {}
     for p, n, k, a in zip(paths, lengths, marks, linked):
         s = sums.setdefault(p, [0, 0, 0, 0])
@@ -160,7 +162,26 @@ def path_scores(paths: list[str], lengths: list[int], marks: list[int], linked:
                 total += w * raw[i + d]
                 weight += w
         out.append(total / weight)
-    return out
+    return raw, out
+
+
+def _covering(tags: list[str], parents: list[int], chosen: list[float]) -> list[int]:
+    """The deepest containers that hold all selected text (chosen: its length below each element); the root if there is none."""
+    around = [0] * len(tags)  # the next container outwards
+    children: dict[int, list[int]] = {}
+    for i in range(1, len(tags)):
+        around[i] = parents[i] if tags[parents[i]] in CONTAINER or not parents[i] else around[parents[i]]
+        if tags[i] in CONTAINER and chosen[i]:
+            children.setdefault(around[i], []).append(i)
+    found, todo = [], [0]
+    while todo:
+        at = todo.pop()
+        held = children.get(at, [])
+        if held and sum(chosen[i] for i in held) == chosen[at] and (len(held) == 1 and tags[at] != "main" or tags[at] in LAYOUT):
+            todo += held
+        else:
+            found.append(at)
+    return found
 
 
 def extract(html: str | None) -> str:
@@ -177,33 +198,21 @@ def extract(html: str | None) -> str:
         return ""
     lengths = [len(t.split()) and len(t.strip()) for _, _, t in full]
     marks = [len(PUNCTUATION.findall(t)) for _, _, t in full]
-    scores = path_scores([paths[e] for e, _, _ in full], lengths, marks, [n if linked[e] else 0 for (e, _, _), n in zip(full, lengths)])
+    own, scores = path_scores([paths[e] for e, _, _ in full], lengths, marks, [n if linked[e] else 0 for (e, _, _), n in zip(full, lengths)])
     mean = sum(scores) / len(scores)
     spread = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
     chosen = [0.0] * len(tags)  # selected text below each element
-    for (e, _, _), n, s in zip(full, lengths, scores):
-        if s >= min(spread, max(scores)):
+    least = min(spread, max(scores))
+    for (e, _, _), n, s, o in zip(full, lengths, scores, own):
+        if s >= least and o >= least:  # what only its neighbours lift over the threshold isn't selected
             chosen[e] += n
     for i in range(len(tags) - 1, 0, -1):
         chosen[parents[i]] += chosen[i]
-    content = 0
-    stated = [i for i, t in enumerate(tags) if t in ("article", "main") and chosen[i] >= 0.5 * chosen[0]]
-    if stated:
-        content = stated[-1]
-    else:
-        children: dict[int, list[int]] = {}
-        for i in range(1, len(tags)):
-            if tags[i] in CONTAINER:
-                children.setdefault(parents[i], []).append(i)
-        while children.get(content):
-            best = max(children[content], key=lambda i: (chosen[i], -i))
-            if chosen[best] < 0.9 * chosen[0]:
-                break
-            content = best
     inside = [False] * len(tags)
-    inside[content] = True
-    for i in range(content + 1, len(tags)):
-        inside[i] = inside[parents[i]]
+    for i in _covering(tags, parents, chosen):
+        inside[i] = True
+    for i in range(1, len(tags)):
+        inside[i] = inside[i] or inside[parents[i]]
     blocks: list[list[str]] = []
     now = None
     for e, b, t in nodes:
