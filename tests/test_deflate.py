@@ -103,3 +103,14 @@ def test_nothing_to_decode():
 def test_listing_marks(spark):
     rows = spark.createDataFrame([(1, 10, 10), (2, 10, 7)], "id long, bytes long, known long")
     assert sorted((r.id or 0, r.bytes, r.known, r.mark) for r in D.listing(rows).collect()) == [(0, 20, 17, "-"), (1, 10, 10, "+"), (2, 10, 7, "-")]
+
+
+def test_histogram_of_whole_documents(spark, tmp_path):
+    """zlib ends a block after 16,383 symbols: 40,000 characters with few repetitions take three, 20,000 two."""
+    from tidewrack.plans import catalog
+
+    rng = random.Random(3)
+    texts = ["".join(chr(rng.randrange(33, 127)) for _ in range(n)) for n in (40_000, 20_000, 20_000, 500)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.QUERIES["packet_histogram"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(1, 1), (2, 2), (3, 1)]
