@@ -308,11 +308,13 @@ def damaged_recovery(spark, d):
 
 @query("reconstruct_accuracy")
 def reconstruct_accuracy(spark, d):
-    streams = staged(_damaged(spark, d).where("damage = 'middle'"), "damaged")
+    """Of every damaged stream, with its kind of damage."""
+    streams = staged(_damaged(spark, d), "damaged")
     found = staged(deflate.decoded(streams), "decoded")
     model = ngrams.ngram_counts(texts(spark, d), 6, 3)
     fixed = reconstruct.reconstruct(found, staged(model, "model"), rounds=3)
-    return reconstruct.accuracy(fixed, streams)
+    kinds = streams.select(F.col("id").alias("_id"), "damage")
+    return reconstruct.accuracy(fixed, streams).join(kinds, F.col("id") == F.col("_id")).drop("_id")
 
 
 @query("cell_classes", "SELECT doc_id AS id, 'Literal' AS class, octet_length(encode(text))::BIGINT AS n FROM documents WHERE text <> ''")
