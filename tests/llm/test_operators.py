@@ -357,9 +357,9 @@ def test_main_text():
     page = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script><style>p{}</style></head><body><header>H</header><nav><ul><li><a href="/">m</a></li></ul></nav>
     <div class="cookie-notice">We use cookies.</div><div class="ad">Buy this, now.</div><article><h1>Head &amp; line</h1><p><b>First&nbsp; block,
     with words.<br><p>Second   block &lt;x&gt;.</p><form><input>q</form><!-- no --><aside>aside</aside><section id="comments"><p>I agree, fully.</p></section></article><div id="sidebar">side</div><footer>foot</footer>"""
-    assert html_text.extract(page) == "Head & line\nFirst block, with words.\nSecond block <x>."
+    assert html_text.extract(page) == "Head & line\n\nFirst block, with words.\n\nSecond block <x>."
     free = "<body><div id='menu'><a href=a>one</a> <a href=b>two</a></div><div id='x'><p>" + "A sentence, with some words. " * 5 + "</p><p>Short.</p></div><div><a href=c>Links, only</a></div></body>"
-    assert html_text.extract(free) == ("A sentence, with some words. " * 5).strip() + "\nShort."
+    assert html_text.extract(free) == ("A sentence, with some words. " * 5).strip() + "\n\nShort."
     for empty in (None, "", "<html></html>", "<p>", "<<<", "<a '", "<script>x"):
         assert isinstance(html_text.extract(empty), str)
     assert html_text.extract("just text, no tags") == "just text, no tags"
@@ -371,19 +371,75 @@ def test_all_selected_text_stays():
     lead = "A lead, of some length, goes before the articles."
     menu = "<nav><a href=/>m</a></nav>"
     several = f"<body>{menu}<main><h1>Head</h1><p>{lead}</p><article><p>{one}</p></article><article><p>{two}</p></article></main>"
-    assert html_text.extract(several).split("\n") == ["Head", lead, one, two]
+    assert html_text.extract(several).split("\n\n") == ["Head", lead, one, two]
     alone = f"<body>{menu}<article><p>{one}</p></article><div><a href=x>more</a></div><article><p>{two}</p></article>"
-    assert html_text.extract(alone).split("\n") == [one, two]
+    assert html_text.extract(alone).split("\n\n") == [one, two]
     split = f"<body>{menu}<div><p>{three}</p></div><div><p>{one}</p><p>{two}</p></div><div><a href=x>more</a></div>"
-    assert html_text.extract(split).split("\n") == [three, one, two]
+    assert html_text.extract(split).split("\n\n") == [three, one, two]
     headed = f"<body><main><h1>Head</h1><article><p>{one}</p></article></main>"
-    assert html_text.extract(headed).split("\n") == ["Head", one]
+    assert html_text.extract(headed).split("\n\n") == ["Head", one]
+
+
+def test_paths_and_names_decide():
+    body = "".join(f"<p>Sentence {k}, with some words in it, and a few more. It goes on.</p>" for k in range(9))
+    inner = "<div class='zq1'><a href=1>Read more stories</a> <a href=2>Weather</a></div><div class='zq2'>We use trackers</div>"
+    found = html_text.extract(f"<body><article><header><h1>Real headline</h1><nav><a href=3>x</a></nav></header>{body}{inner}<p>Short.</p></article></body>").split("\n\n")
+    assert found[0] == "Real headline" and found[-1] == "Short." and len(found) == 11
+    # a wrapper with a telling name isn't what the name says, the comments in it are
+    wrapped = f"<body><div class='page has sidebar'><article class='post'><h1>T</h1>{body}<section class='comments'><article class='comment'><p>I agree, fully, with all of it.</p></article></section></article></div>"
+    assert len(html_text.extract(wrapped).split("\n\n")) == 10
+    assert html_text.extract("<div class=promo><p>All there is.</p></div>") == "All there is."
+    assert html_text.extract(f"<article>{body}<p>With <math><mi>x</mi></math> in it, and so on.</p></article>").endswith("With x in it, and so on.")
+
+
+def test_main_text_of_made_pages():
+    """Pages made from a known article, in every wrapping: each block and nothing else comes back."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdeéß&<") for _ in range(rng.randint(1, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randint(4, 20))) + rng.choice([".", ", yes.", "!"])
+    mark = lambda t: t.replace("&", "&amp;").replace("<", rng.choice(["&lt;", "&#60;", "&#x3c;"]))
+    for _ in range(150):
+        blocks, inner = [], []
+        for k in range(rng.randint(3, 12)):
+            kind = "h1" if not k else rng.choice(["p", "p", "p", "p", "h2", "li", "blockquote"])
+            text = " ".join(sentence() for _ in range(1 if kind[0] in "hl" else rng.randint(2, 6)))
+            blocks.append(text)
+            html = mark(text).replace(" ", rng.choice([" ", "\n  ", "&nbsp;"]), 1)
+            if rng.random() < 0.2:
+                html = html.replace(" ", " <b>", 1) + ("</b>" if rng.random() < 0.5 else "")
+            inner.append(f"<ul><li>{html}</ul>" if kind == "li" else f"<{kind}>{html}</{kind}>")
+            if rng.random() < 0.2:
+                inner.append(rng.choice(["<!-- x -->", "<script>var a='<p>';</script>", "<form><input name=q> Search </form>", "<div class=zz><a href=1>one more</a> <a href=2>other</a></div>", "<aside>Aside, with words.</aside>", "<div class='ad'>Buy, now.</div>"]))
+        tag = rng.choice(["article", "main", "div id=x", "section"])
+        core = f"<{tag}>{''.join(inner)}</{tag.split()[0]}>"
+        around = rng.choice(["{}", "<div>{}</div>", "<div class='layout sidebar-left'>{}<div class='sidebar'>Side, words.</div></div>", "<table><tr><td>{}</td></tr></table>"])
+        page = f"<html><head><title>T</title></head><body><header>Site</header><nav><ul><li><a href=/>m</a></li></ul></nav>{around.format(core)}<div id='comments'><p>Nice, I think.</p></div><footer>&copy; foot</footer></body></html>"
+        assert html_text.extract(page).split("\n\n") == [" ".join(t.split()) for t in blocks], page
 
 
 def test_pages(spark, sf_dir):
-    found = queries.op8_main_text(spark, sf_dir).collect()
-    assert len(found) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
-    assert all(r.n_chars == len(r.text) and r.text for r in found)
+    """The given pages against a reading by regular expressions alone."""
+    import html as entities
+    import re
+
+    found = {r.page_id: r for r in queries.op8_main_text(spark, sf_dir).collect()}
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    assert len(found) == len(rows)
+    for r in rows:
+        body = re.search("<article>(.*)</article>", r.html, re.S)[1]
+        parts = re.split(r"</?(?:p|h1|h2|ul|li)\b[^>]*>", body)
+        blocks = [" ".join(entities.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in parts]
+        text = "\n\n".join(x for x in blocks if x)
+        assert (found[r.page_id].url, found[r.page_id].text, found[r.page_id].n_chars) == (r.url, text, len(text))
+
+
+def test_odd_pages(spark):
+    schema = "page_id long, url string, html string, text int, n_chars string"
+    rows = [(1, "u", None, 1, "x"), (2, None, "", 1, "x"), (3, "u", "<p>Same, twice.", 1, "x"), (3, "u", "<p>Same, twice.", 1, "x"), (None, "u", "<p>No id.", 1, "x"), (5, "u", "<div>" * 20_000 + "deep", None, None)]
+    found = html_text.main_text(spark.createDataFrame(rows, schema))
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in found.collect()) == [(0, "No id.", 6), (1, "", 0), (2, "", 0), (3, "Same, twice.", 12), (3, "Same, twice.", 12), (5, "deep", 4)]
+    assert html_text.main_text(spark.createDataFrame([], schema)).count() == 0
 
 
 # ---- 9 embeddings
