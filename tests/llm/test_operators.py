@@ -213,15 +213,79 @@ def test_fingerprints_and_components(spark, sf_dir):
     assert {i: r.component_id for i, r in found.items()} == {i: top(i) for i in ids}
 
 
-def test_bk_tree():
+def test_bk_trees():
     rng = random.Random(3)
     values = [rng.getrandbits(64) for _ in range(200)]
-    values += [v ^ 1 << rng.randint(0, 63) ^ 1 << rng.randint(0, 63) for v in values]
-    tree = simhash.BKTree()
-    for v in values:
-        tree.add(v)
-    for v in values:
-        assert sorted(tree.within(v, 3)) == [i for i, x in enumerate(values) if (x ^ v).bit_count() <= 3]
+    values += [v ^ 1 << rng.randint(0, 63) ^ 1 << rng.randint(0, 63) for v in values] + values[:5]
+    rng.shuffle(values)
+    tree = np.array([0] * 3 + [1] + [5] * 300 + [6] * (len(values) - 304))
+    forest = simhash.BKForest(np.array(values, dtype=np.uint64)[:, None], tree)
+    for radius, most in ((3, 1000), (20, 50), (64, 100_000)):
+        found = [(i, j) for q, f in forest.within(np.arange(len(values)), radius, most) for i, j in zip(q.tolist(), f.tolist())]
+        right = [(i, j) for i in range(len(values)) for j in range(i) if tree[i] == tree[j] and (values[i] ^ values[j]).bit_count() <= radius]
+        assert sorted(found) == right
+
+
+def test_pieces_hold_every_link():
+    rng = random.Random(1)
+    for count in (1000, 1 << 30):
+        groups = simhash._pieces(count, 3)
+        for _ in range(500):
+            spoilt = set(rng.sample(range(64), 3))
+            assert any(not spoilt & set(g) for g in groups)
+
+
+def shingle_set(t, k=5):
+    w = t.lower().split()
+    return frozenset(" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def test_similar_groups_are_brute_forces(spark):
+    """Of all pairs of similarity 0.8 and more at least 0.9 are found, in every range; none below links; blocks change nothing."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(220):
+        w = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(30, 400))]
+        for c in range(rng.randint(1, 4)):
+            v = list(w)
+            for _ in range(rng.randint(0, len(w) // 30) if c else 0):
+                v[rng.randrange(len(w))] = f"w{rng.randint(0, 3000)}"
+            rows.append((len(rows), " ".join(v)))
+    base = [f"v{rng.randint(0, 3000)}" for _ in range(300)]
+    for k in range(120):  # a large group, of texts that differ
+        v = list(base)
+        for _ in range(rng.randint(1, 12)):
+            v[rng.randrange(300)] = f"u{rng.randint(0, 3000)}"
+        rows.append((len(rows), " ".join(v)))
+    sets = [shingle_set(t) for _, t in rows]
+    alike = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a & b}
+    parent = list(range(len(rows)))
+    for _ in range(20):
+        for (i, j), x in alike.items():
+            if x >= 0.8:
+                parent[i] = parent[j] = min(parent[i], parent[j])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    for low in (0.8, 0.85, 0.9, 0.95):
+        there = [p for p, x in alike.items() if low <= x < low + 0.05]
+        assert len(there) > 20 and sum(found[i] == found[j] for i, j in there) >= 0.9 * len(there)
+    joined = {(i, found[i]) for i in found if found[i] != i}
+    assert all(parent[i] == parent[j] for i, j in joined)
+    # small blocks, of shards and of candidates: the same groups
+    prints = staged(simhash.shingle_sets(docs, 5, 16).withColumn("rep", F.col("doc_id")), "t")
+    groups = [list(range(k * 16, k * 16 + 16)) for k in range(64)]
+    once, cut = (sorted(map(tuple, graph.components(simhash.links(prints, groups, list(range(128)), 29, limit)).collect())) for limit in (4096, 6))
+    assert once == cut
+    roots = spark.createDataFrame(once + [(r, r) for r in {r for _, r in once}], "doc_id long, root long")
+    members = staged(prints.drop("rep").join(roots, "doc_id").select("root", F.col("doc_id").alias("rep"), "shingles"), "t")
+    whole, cut = (sorted(map(tuple, graph.components(simhash.alike_links(members, 0.8, limit)).collect())) for limit in (512, 8))
+    assert whole == cut and {i: r for i, r in whole} == {i: r for i, r in found.items() if r != i}
+
+
+def test_bands_follow_the_corpus():
+    assert simhash.bands_for(0, 0.8, 0.99) == simhash.bands_for(1 << 24, 0.8, 0.99) == (16, 62)
+    bits, bands = simhash.bands_for(1 << 30, 0.8, 0.99)
+    assert bits == 22 and 1 - (1 - 0.8485**bits) ** bands > 0.98
 
 
 def test_near_copies_go_and_others_stay(spark):

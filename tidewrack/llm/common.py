@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that separate words everywhere here: space, tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,6 +46,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(table: DataFrame, most: int = 500_000) -> DataFrame:
+    """table, which is staged and of a few columns of numbers, to be broadcast if it has at most so many rows; else it is joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+    if path is not None:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_slices(batches, column: str, limit: int = 4_000_000):
     """Slices of Arrow batches of about limit bytes of text at most (a longer text comes alone), to bound a worker's memory."""
     import numpy as np

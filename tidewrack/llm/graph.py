@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import removed, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps: every node hands its larger
     neighbours, then its smaller ones, to the least node it knows. Both are a
     grouping with partial minima and a join on the same key, so no node's
-    neighbours are ever collected; each round is written to the shared folder.
+    neighbours are ever collected; each round is written to the shared folder, in the last one's place.
     Rounds grow with the logarithm of the longest path. Loops and edges with
     nulls are left out; no edges give no rows.
     """
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.union(links.join(least, F.col("u") == F.col("_u")).where("_m < u").select("u", F.col("_m").alias("v"))).distinct()
         least = large.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m"))
         small = large.join(least, F.col("u") == F.col("_u")).where("v != _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
-        links = staged(small.union(least.select("_u", "_m")).distinct(), "links")
+        links, done = staged(small.union(least.select("_u", "_m")).distinct(), "links"), links
+        removed(done)
         after = _signature(links)
         if after == before:
             break
