@@ -330,6 +330,63 @@ def test_base_score_and_counts(spark, sf_dir):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("share", [1e-6, 2e-3])
+def test_scores_are_a_brute_force_trees(spark, sf_dir, monkeypatch, share):
+    """Every text's score from contexts counted in dicts; with a larger share most contexts hold words outside the dictionary."""
+    monkeypatch.setattr(suffix_lm, "WORD_SHARE", share)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: suffix_lm.words_of(r.text) + [suffix_lm.END] for r in docs.collect()}
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for t in train for w in t)
+    total, distinct = sum(c.values()), len(c)
+    base = lambda w: (c[w] + 0.1) / (total + 0.1 * (distinct + 1))
+    known = {w for w in c if c[w] >= share * total} | {suffix_lm.END}
+    after: dict = {}
+    for t in train:
+        for i in range(1, len(t)):
+            for k in range(1, min(3, i) + 1):
+                after.setdefault(tuple(t[i - k : i]), Counter())[t[i]] += 1
+    kept: dict = {}
+
+    def distribution(s):
+        """(own counts, n, rest) of a kept context, else None."""
+        if s not in kept:
+            n, found = sum(after.get(s, {}).values()), {w: x for w, x in after.get(s, {}).items() if x >= 2 and w in known}
+            kept[s] = None
+            if n >= 20:
+                rest = (n - sum(found.values()) + 10) / (n + 10)
+                under = {w: chance(w, s[1:]) for w in found}
+                away = sum(x / n * math.log2(x / n / under[w]) for w, x in found.items())
+                left = 1 - sum(found.values()) / n
+                if left > 1e-15:
+                    away += left * math.log2(left / max(1 - sum(under.values()), 1e-12))
+                if away >= 0.02:
+                    kept[s] = (found, n, rest)
+        return kept[s]
+
+    def chance(w, s):
+        if not s:
+            return base(w)
+        own = distribution(s)
+        below = chance(w, s[1:])
+        return below if own is None else own[0].get(w, 0) / (own[1] + 10) + own[2] * below
+
+    found = {r.doc_id: r.score for r in suffix_lm.scored(docs).collect()}
+    for i, t in texts.items():
+        right = sum(math.log10(chance(w, tuple(t[max(0, k - 3) : k]))) for k, w in enumerate(t))
+        assert math.isclose(found[i], right, rel_tol=1e-9), i
+    assert sum(x is not None for x in kept.values()) > 50
+    if share > 1e-3:
+        assert any(x and not set(s) <= known for s, x in kept.items())
+
+
+def test_context_map_holds_its_words(spark):
+    words = [b"w%d" % i for i in range(500)]
+    mapped = np.frombuffer(suffix_lm.context_map(spark.createDataFrame([(bytearray(w),) for w in words], "word binary")), np.uint8)
+    has = lambda w: mapped[suffix_lm._hash(w) % suffix_lm.MAPPED >> 3] >> (suffix_lm._hash(w) & 7) & 1
+    assert all(has(w) for w in words) and sum(has(b"x%d" % i) for i in range(500)) < 3
+
+
 def test_next_words_sum_to_one(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choice(["a b", "c d", "a b c", "e"]) for _ in range(30)) for _ in range(60)]
