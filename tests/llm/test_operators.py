@@ -594,6 +594,47 @@ def test_links_are_brute_forces(spark):
     assert projections.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_recall_in_dense_clusters(spark, monkeypatch):
+    """Of 12,000 vectors a third lies in one cluster at cosine 0.8; planted pairs just over 0.9 are among them: nearly all links of brute force, none else."""
+    rng = np.random.default_rng(4)
+    d, n = 48, 12_000
+
+    def turned(x, cosine):
+        y = rng.standard_normal(x.shape)
+        y -= (y * x).sum(1, keepdims=True) * x
+        return cosine * x + math.sqrt(1 - cosine * cosine) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((n, d)))
+    x[:4000] = turned(np.repeat(x[:1], 4000, 0), math.sqrt(0.8))
+    x[4000:4400] = turned(x[:400], 0.905)
+    x[5000:5400] = turned(x[6000:6400], 0.905)
+    x = x.astype(np.float32)
+    u = unit(x.astype(np.float64))
+    near = [set(np.flatnonzero(row).tolist()) - {i} for i, row in enumerate(u @ u.T >= 0.9)]
+    docs = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    found = {r.vec_id: r for r in projections.near_duplicates(docs).collect()}
+    right = sum(map(len, near))
+    assert right > 1500 and all(found[i].n_links <= len(near[i]) for i in range(n))
+    assert sum(r.n_links for r in found.values()) >= 0.995 * right
+    # groups of all, compared in one window or in pairs of blocks: all links, either way
+    packed = projections._packed(docs.where("vec_id < 2000 OR vec_id BETWEEN 4000 AND 4400").select("vec_id", F.col("embedding").alias("vector")))
+    packed = staged(packed.withColumnRenamed("vec_id", "node"), "t")
+    whole, cut = (sorted(map(tuple, graph.components(projections.window_links(packed, 1, window=w, signs=0)).collect())) for w in (2401, 8))
+    monkeypatch.setattr(projections, "DENSE_BYTES", 8 * d * 300)
+    more = sorted(map(tuple, graph.components(projections.window_links(packed, 1, window=8, signs=0)).collect()))
+    assert whole == cut == more and len(whole) > 300
+
+
+def test_clashing_and_odd_vectors(spark):
+    schema = "vec_id long, embedding array<double>, node string, root int, kept string, dim int, component_id int"
+    rows = [(1, [1.0, 2.0], "a", 1, "x", 5, 7), (1, [1.0, 2.0], "a", 1, "x", 5, 7), (2, [2.0, 4.0], None, None, None, None, None), (3, [1e300, 2e300], "a", 1, "x", 5, 7), (4, [-0.0, 1.0], "a", 1, "x", 5, 7), (5, [0.0, 1.0], "a", 1, "x", 5, 7), (6, None, "a", 1, "x", 5, 7)]
+    found = projections.near_duplicates(spark.createDataFrame(rows, schema))
+    assert found.columns == ["vec_id", "n_links", "component_id", "kept"]
+    # (0, 1) is at cosine 0.894 to (1, 2)
+    assert sorted(map(tuple, found.collect())) == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True)]
+
+
 def test_passes_grow_slowly():
     assert [projections.passes_for(n) for n in (0, 1, 256)] == [1, 1, 1]
     assert projections.passes_for(50_000) < projections.passes_for(5_000_000) < 120

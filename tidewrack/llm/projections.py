@@ -4,9 +4,15 @@ Vectors that are equal are one, with a weight. In every pass the distinct ones
 are ordered by the concatenated signs of random projections and each is compared
 with a bounded window of its neighbours; pairs at the threshold, verified in
 double precision, are united, and a block of the window hands on a spanning star
-of each group, never the pairs. Passes are as many as it takes for a pair at
-the very threshold to meet with the stated probability, which depends on the
-number of vectors: it is the same at every size.
+of each group, never the pairs.
+
+A pass compares all pairs that agree in its first signs, as many as leave a
+window's worth of vectors a group on average: where vectors lie so densely that
+more than a window agree, they are taken out and compared in pairs of blocks.
+So passes are as many as it takes for a pair at the very threshold to agree in
+one of them with the stated probability, whatever the number and the density of
+the vectors. The order is cut only where those first signs change, so results
+don't depend on partitions either.
 
 Links are then counted exactly among the members of each component, in blocks,
 so that no window bounds the number of a vector's partners.
@@ -19,8 +25,10 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import staged
+from .blocks import edges, in_blocks, parts, stars, streamed
+from .common import few, staged
 from .graph import components
 
 COSINE = 0.9
@@ -29,17 +37,24 @@ BITS = 62
 #: least probability that a pair at the threshold is found by the passes
 RECALL = 0.999
 BLOCK = 2048
+#: bytes of vectors (as doubles) in a block of a dense group, 8192 vectors at most
+DENSE_BYTES = 16_000_000
+#: how many groups of a window's size are sorted together
+RANGE = 64
 SEED = 23
 
 
+def signs_for(count: int, window: int = WINDOW) -> int:
+    """How many leading signs leave a window of vectors or less, on average, that agree in them."""
+    return max(0, math.ceil(math.log2(max(count, 1) / window)))
+
+
 def passes_for(count: int, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> int:
-    """How many passes make a pair of that cosine meet in a window with that probability.
+    """How many passes make a pair of that cosine agree in the leading signs of one with that probability.
 
-    A pair is in one window if as many leading signs agree as it takes to leave
-    count / window groups; each agrees with probability 1 - angle / pi.
+    Each sign agrees with probability 1 - angle / pi.
     """
-    agree = 1 - math.acos(cosine) / math.pi
-    together = agree ** max(0.0, math.log2(max(count, 1) / window))
+    together = (1 - math.acos(cosine) / math.pi) ** signs_for(count, window)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - together))) if together < 1 else 1
 
 
@@ -49,8 +64,11 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, size)
+def _matrix(column, dim: int) -> np.ndarray:
+    """Packed vectors of so many components, of 4 or 8 bytes, as doubles."""
+    data = column.to_pylist()
+    kind = "<f4" if data and len(data[0]) == 4 * dim else "<f8"
+    return np.frombuffer(b"".join(data), dtype=kind).reshape(-1, dim).astype(np.float64)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -63,78 +81,93 @@ def _near(a: np.ndarray, b: np.ndarray, cosine: float) -> tuple[np.ndarray, np.n
     return np.nonzero(a @ b.T >= cosine)
 
 
-def _coded(distinct: DataFrame, passes: int) -> DataFrame:
-    """(dim, pass, code, node, vector): each vector with its order in every pass."""
+def _codes(x: np.ndarray, turn: int, dim: int) -> np.ndarray:
+    """The signs of a pass's projections, the first one most significant."""
+    r = np.random.default_rng((SEED, turn, dim)).standard_normal((dim, BITS))
+    signs = np.zeros((len(x), 64), dtype=bool)
+    signs[:, 64 - BITS :] = x @ r > 0
+    return np.packbits(signs, axis=1).view(">u8")[:, 0].astype(np.int64)
+
+
+def _by_dim(batches, most: int = 1000):
+    """(dim, unit vectors, rows) of parts of batches."""
     import pyarrow as pa
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                dims = part.column("dim").to_numpy()
-                for dim in np.unique(dims).tolist():
-                    own = part.filter(pa.array(dims == dim))
-                    x = _unit(_matrix(own.column("vector"), dim))
-                    for k in range(passes):
-                        r = np.random.default_rng((SEED, k, dim)).standard_normal((dim, BITS))
-                        code = ((x @ r > 0).astype(np.int64) << np.arange(BITS - 1, -1, -1, dtype=np.int64)).sum(1)
-                        n = len(own)
-                        yield pa.RecordBatch.from_arrays([own.column("dim"), pa.array(np.full(n, k, np.int32)), pa.array(code), own.column("node"), own.column("vector")], ["dim", "pass", "code", "node", "vector"])
-
-    return distinct.select("node", "dim", "vector").mapInArrow(run, "dim int, pass int, code long, node long, vector binary")
-
-
-def _stars(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    parent: dict[int, int] = {}
-
-    def top(i: int) -> int:
-        while parent.setdefault(i, i) != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i, j in zip(a, b):
-        x, y = top(i), top(j)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    return [(i, r) for i in list(parent) if (r := top(i)) != i]
-
-
-def window_links(distinct: DataFrame, passes: int, cosine: float = COSINE, window: int = WINDOW) -> DataFrame:
-    """Edges (a, b) that connect the pairs of (node, dim, vector) found in the windows of all passes.
-
-    The passes are sorted together, by range, and read as streams; a partition
-    keeps the last window of vectors. Where a pass runs over a partition's end,
-    the windows across it are left to the other passes.
+    for batch in batches:
+        for at in range(0, len(batch), most):
+            part = batch.slice(at, most)
+            dims = part.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = part.filter(pa.array(dims == dim))
+                yield dim, _unit(_matrix(own.column("vector"), dim)), own
+
+
+def window_links(distinct: DataFrame, passes: int, cosine: float = COSINE, window: int = WINDOW, signs: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect the pairs of (node, dim, vector) found in all passes.
+
+    signs is how many leading signs are a group; pairs that agree in them are
+    always compared.
     """
     import pyarrow as pa
 
-    ordered = _coded(distinct, passes).repartitionByRange("dim", "pass", "code").sortWithinPartitions("dim", "pass", "code", "node")
+    signs = signs_for(distinct.count(), window) if signs is None else signs
+    rows = distinct.select("node", "dim", "vector")
 
-    def run(batches):
-        now = None
-        last_x, last_n = None, None
+    def sized(batches):
+        for dim, x, _ in _by_dim(batches, 10_000):
+            for k in range(passes):
+                group, n = np.unique(_codes(x, k, dim) >> (BITS - signs), return_counts=True)
+                dims, turns = np.full(len(n), dim, np.int32), np.full(len(n), k, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (dims, turns, group, n)], ["_dim", "_pass", "_group", "n"])
+
+    def coded(batches):
+        for dim, x, own in _by_dim(batches):
+            for k in range(passes):
+                code = _codes(x, k, dim)
+                yield pa.RecordBatch.from_arrays([own.column("dim"), pa.array(np.full(len(own), k, np.int32)), pa.array(code >> (BITS - signs)), pa.array(code), own.column("node"), own.column("vector")], ["dim", "pass", "group", "code", "node", "vector"])
+
+    def windows(batches):
+        now, last_x, last_n = None, None, None
         for batch in batches:
-            dims, turns, nodes = batch.column("dim").to_numpy(), batch.column("pass").to_numpy(), batch.column("node").to_numpy()
-            bounds = np.flatnonzero(np.r_[True, (dims[1:] != dims[:-1]) | (turns[1:] != turns[:-1]), True]) if len(batch) else np.zeros(1, int)
-            a, b = [], []
-            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                key = (int(dims[lo]), int(turns[lo]))
-                x, n = _unit(_matrix(batch.column("vector").slice(lo, hi - lo), key[0])), nodes[lo:hi]
+            found = []
+            for t in parts(batch, ["dim", "pass", "range"]):
+                key = tuple(t.column(k)[0].as_py() for k in ("dim", "pass", "range"))
+                x, n = _unit(_matrix(t.column("vector"), key[0])), t.column("node").to_numpy()
                 if key == now:
                     x, n = np.concatenate([last_x, x]), np.concatenate([last_n, n])
-                for at in range(0, len(x), window):
-                    i, j = _near(x[at : at + window], x[at : at + 2 * window], cosine)
-                    there = i < j
-                    a.append(n[at + i[there]])
-                    b.append(n[at + j[there]])
+                pairs = [(at + i, at + j) for at in range(0, len(x), window) for i, j in [_near(x[at : at + window], x[at : at + 2 * window], cosine)]]
+                found.append(stars(n, pairs))
                 now, last_x, last_n = key, x[-window:], n[-window:]
-            if a:
-                stars = _stars(np.concatenate(a).tolist(), np.concatenate(b).tolist())
-                if stars:
-                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in stars], pa.int64()), pa.array([s for _, s in stars], pa.int64())], ["a", "b"])
-
-    return ordered.mapInArrow(run, "a long, b long")
+            yield edges(found)
+
+    def blocks(batches):
+        keys = ["dim", "pass", "group", "lo", "hi"]
+        for table in streamed(batches, keys):
+            found = []
+            for t in parts(table, keys):
+                x, block = _unit(_matrix(t.column("vector"), t.column("dim")[0].as_py())), t.column("block").to_numpy()
+                left, right = np.flatnonzero(block == t.column("lo")[0].as_py()), np.flatnonzero(block == t.column("hi")[0].as_py())
+                of_right = x[right]
+                pairs = ((left[at + i], right[j]) for at in range(0, len(left), window) for i, j in [_near(x[left[at : at + window]], of_right, cosine)])
+                found.append(stars(t.column("node").to_numpy(), pairs))
+            yield edges(found)
+
+    dense = rows.mapInArrow(sized, "_dim int, _pass int, _group long, n long").groupBy("_dim", "_pass", "_group").agg(F.sum("n").alias("_size")).where(F.col("_size") > window)
+    dense = staged(dense, "dense-groups")
+    made = rows.mapInArrow(coded, "dim int, pass int, group long, code long, node long, vector binary")
+    thin, same = made, (F.col("dim") == F.col("_dim")) & (F.col("pass") == F.col("_pass")) & (F.col("group") == F.col("_group"))
+    if dense.count():
+        thin = made.join(few(dense), same, "left_anti")
+    leading = max(0, signs - RANGE.bit_length() + 1)
+    thin = thin.withColumn("range", F.shiftright("code", BITS - leading)).repartition("dim", "pass", "range").sortWithinPartitions("dim", "pass", "range", "code", "node")
+    kind = "a long, b long"
+    found = thin.select("dim", "pass", "range", "node", "vector").mapInArrow(windows, kind)
+    if dense.count():
+        most = F.greatest(F.lit(window), F.least(F.lit(8192), F.floor(F.lit(DENSE_BYTES) / 8 / F.col("dim"))))
+        cut = in_blocks(made.join(few(dense), same), F.ceil(F.col("_size") / most).cast("int"), "node").select("dim", "pass", "group", "lo", "hi", "block", "node", "vector")
+        cut = cut.repartition("dim", "pass", "group", "lo", "hi").sortWithinPartitions("dim", "pass", "group", "lo", "hi")
+        found = found.union(cut.mapInArrow(blocks, kind))
+    return found
 
 
 def link_counts(members: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -160,7 +193,7 @@ def link_counts(members: DataFrame, cosine: float = COSINE, block: int = BLOCK)
         nodes, found = [], []
         for dim in np.unique(dims).tolist():
             own = [r for r in rows if r[2] == dim]
-            x = _unit(np.frombuffer(b"".join(r[3] for r in own), dtype="<f8").reshape(-1, dim))
+            x = _unit(_matrix(pa.array([r[3] for r in own], pa.binary()), dim))
             w = np.array([r[4] for r in own], dtype=np.int64)
             part = np.array([r[0] for r in own])
             one, two = rows[0][5]
@@ -205,19 +238,21 @@ def link_counts(members: DataFrame, cosine: float = COSINE, block: int = BLOCK)
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """vector (array) as bytes of doubles, beside the other columns; equal values are equal bytes."""
+    """vector (array) as bytes, beside vec_id and dim: of floats where it is of floats, else of doubles; equal values are equal bytes."""
     import pyarrow as pa
 
+    form = "<f4" if isinstance(rows.schema["vector"].dataType.elementType, FloatType) else "<f8"
+
     def run(batches):
         for b in batches:
-            flat = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype("<f8") + 0.0
+            flat = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype(form) + np.dtype(form).type(0)
             ends = b.column("vector").offsets.to_numpy()
             ends = ends - ends[0]
             data = [flat[i:j].tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(data, pa.binary())], ["vec_id", "vector"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(np.diff(ends).astype(np.int32)), pa.array(data, pa.binary())], ["vec_id", "dim", "vector"])
 
     kind = rows.schema["vec_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"vec_id {kind}, vector binary")
+    return rows.mapInArrow(run, f"vec_id {kind}, dim int, vector binary")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
@@ -231,8 +266,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = WI
     """
     rows = vectors.select("vec_id", F.col("embedding").alias("vector"))
     good = staged(_packed(rows.where(usable(F.col("vector")))), "vectors")
-    distinct = good.groupBy("vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
-    distinct = staged(distinct.select(F.monotonically_increasing_id().alias("node"), (F.length("vector") / 8).cast("int").alias("dim"), "vector", "least", "weight"), "distinct-vectors")
+    distinct = good.groupBy("dim", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    distinct = staged(distinct.select(F.monotonically_increasing_id().alias("node"), "dim", "vector", "least", "weight"), "distinct-vectors")
     found = components(window_links(distinct, passes_for(distinct.count(), cosine, window, recall), cosine, window))
     roots = staged(found.select("id", "root").union(found.select(F.col("root"), F.col("root"))).distinct(), "roots")
     linked = distinct.join(roots, F.col("node") == F.col("id"), "left").select("node", "dim", "vector", "weight", "least", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("in_group"))

@@ -30,6 +30,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import edges as edge_batch
+from .blocks import in_blocks, parts, runs, stars, streamed
 from .common import few, fresh, staged, text_slices
 from .graph import components
 
@@ -164,73 +166,6 @@ class BKForest:
                 todo.append((np.repeat(q, many), self.ends[place]))
 
 
-def united(n: int, pairs) -> np.ndarray:
-    """For each of n places the smallest one that the pairs (arrays a, b) connect it to."""
-    label = np.arange(n)
-    for a, b in pairs:
-        while True:
-            x, y = label[a], label[b]
-            apart = x != y
-            if not apart.any():
-                break
-            low, high = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
-            np.minimum.at(label, high, low)
-            while True:
-                further = label[label]
-                if (further == label).all():
-                    break
-                label = further
-    return label
-
-
-def _stars(ids: np.ndarray, pairs) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from the places that the pairs connect to one of their group."""
-    label = united(len(ids), pairs)
-    there = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[there], ids[label[there]]
-
-
-def _edges(pa, found: list[tuple[np.ndarray, np.ndarray]]):
-    a, b = (np.concatenate([x[k] for x in found]).astype(np.int64) for k in (0, 1))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-
-def _streamed(batches, keys: list[str]):
-    """The rows of sorted batches as tables of whole runs of equal keys, so that no run is cut."""
-    import pyarrow as pa
-
-    held = []
-    for b in batches:
-        if not len(b):
-            continue
-        columns = [b.column(k).to_numpy() for k in keys]
-        new = np.zeros(len(b) - 1, dtype=bool)
-        for c in columns:
-            new |= c[1:] != c[:-1]
-        starts = np.flatnonzero(new) + 1
-        if held:
-            last = held[-1]
-            if any(last.column(k)[-1].as_py() != b.column(k)[0].as_py() for k in keys):
-                yield pa.Table.from_batches(held)
-                held = []
-        if len(starts):
-            cut = int(starts[-1])
-            yield pa.Table.from_batches([*held, b.slice(0, cut)])
-            held = [b.slice(cut)]
-        else:
-            held.append(b)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _runs(columns: list[np.ndarray]) -> np.ndarray:
-    """A number for each run of rows that are equal in all columns."""
-    new = np.zeros(max(len(columns[0]) - 1, 0), dtype=bool)
-    for c in columns:
-        new |= c[1:] != c[:-1]
-    return np.r_[0, np.cumsum(new)] if len(columns[0]) else np.zeros(0, np.int64)
-
-
 def links(distinct: DataFrame, groups: list[list[int]], checked: list[int], radius: int, limit: int = SHARD) -> DataFrame:
     """Edges (a, b) that connect what is linked among (rep, fp), each fp once: within every shard a star a group.
 
@@ -264,18 +199,18 @@ def links(distinct: DataFrame, groups: list[list[int]], checked: list[int], radi
     rows = distinct.select("rep", "fp").mapInArrow(dealt, kind)
 
     def search(table, keys):
-        of = _runs([table.column(k).to_numpy() for k in keys])
+        of = runs([table.column(k).to_numpy() for k in keys])
         many = np.bincount(of)[of] > 1
         of, rep = of[many], table.column("rep").to_numpy()[many]
         values = np.stack([table.column(c).to_numpy()[many] for c in names], 1).view(np.uint64)
-        return _stars(rep, BKForest(values, of).within(np.arange(len(of)), radius))
+        return stars(rep, BKForest(values, of).within(np.arange(len(of)), radius))
 
     def run(keys):
         def each(batches):
-            for table in _streamed(batches, keys):
+            for table in streamed(batches, keys):
                 found = search(table, keys)
                 if len(found[0]):
-                    yield _edges(pa, [found])
+                    yield edge_batch([found])
 
         return each
 
@@ -286,23 +221,12 @@ def links(distinct: DataFrame, groups: list[list[int]], checked: list[int], radi
     found = whole.repartition("shard").sortWithinPartitions("shard").mapInArrow(run(["shard"]), "a long, b long")
     if hot.count():
         cut = rows.join(few(hot), F.col("shard") == F.col("_shard"))
-        cut = in_blocks(cut, "shard", F.ceil(F.col("_size") / (limit // 2)).cast("int"), "rep").select("shard", "lo", "hi", "rep", *names)
+        cut = in_blocks(cut, F.ceil(F.col("_size") / (limit // 2)).cast("int"), "rep").select("shard", "lo", "hi", "rep", *names)
         cut = cut.repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi")
         found = found.union(cut.mapInArrow(run(["shard", "lo", "hi"]), "a long, b long"))
     return found
 
 
-def in_blocks(rows: DataFrame, key: str, blocks: Column, node: str) -> DataFrame:
-    """rows, dealt by node into blocks within key and repeated for each pair of blocks (lo, hi) with their own; block is their own."""
-    return (
-        rows.withColumn("_blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64(node), F.col("_blocks")).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .withColumn("lo", F.least("block", "_other"))
-        .withColumn("hi", F.greatest("block", "_other"))
-    )
-
-
 def _pieces(count: int, radius: int) -> list[list[int]]:
     """Groups of places of 64 bits: what differs in radius bits or fewer agrees in one of them. Longer ones for more fingerprints."""
     taken = 1 if count <= 1 << 26 else 2
@@ -408,14 +332,12 @@ def alike_links(members: DataFrame, similarity: float, limit: int = MEMBERS, mos
         return [np.frombuffer(s, dtype="<u8") for s in table.column("shingles").to_pylist()]
 
     def small(batches):
-        for table in _streamed(batches, ["root"]):
-            of, rep, sets = _runs([table.column("root").to_numpy()]), table.column("rep").to_numpy(), sets_of(table)
-            bounds = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
+        for table in streamed(batches, ["root"]):
             found = []
-            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                here = np.arange(hi - lo)
-                found.append(_stars(rep[lo:hi], [alike(sets[lo:hi], here, here, similarity)]))
-            yield _edges(pa, found)
+            for t in parts(table, ["root"]):
+                here = np.arange(len(t))
+                found.append(stars(t.column("rep").to_numpy(), [alike(sets_of(t), here, here, similarity)]))
+            yield edge_batch(found)
 
     kind = "a long, b long"
     small_ones = members.join(few(large), F.col("root") == F.col("_root"), "left_anti") if large.count() else members
@@ -426,9 +348,9 @@ def alike_links(members: DataFrame, similarity: float, limit: int = MEMBERS, mos
     def against_first(batches):
         first = now = None
         for b in batches:
-            roots, parts, reps = (b.column(c).to_pylist() for c in ("root", "part", "rep"))
+            roots, places, reps = (b.column(c).to_pylist() for c in ("root", "part", "rep"))
             found = []
-            for root, part, rep, s in zip(roots, parts, reps, sets_of(b)):
+            for root, part, rep, s in zip(roots, places, reps, sets_of(b)):
                 if (root, part) != now:
                     now, first = (root, part), s  # sorted, the first comes first
                 common = len(np.intersect1d(first, s, assume_unique=True))
@@ -436,10 +358,10 @@ def alike_links(members: DataFrame, similarity: float, limit: int = MEMBERS, mos
             yield pa.RecordBatch.from_arrays([b.column("root"), b.column("rep"), pa.array(found), b.column("turn")], ["root", "rep", "near", "turn"])
 
     inside = members.join(few(large), F.col("root") == F.col("_root"))
-    parts = inside.select("root", "rep", "shingles", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int").alias("part"), F.lit(1).alias("turn"))
+    others = inside.select("root", "rep", "shingles", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int").alias("part"), F.lit(1).alias("turn"))
     firsts = inside.where("rep = root").select("root", "rep", "shingles", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("part"), F.lit(0).alias("turn"))
-    sorted_parts = parts.unionByName(firsts).repartition("root", "part").sortWithinPartitions("root", "part", "turn")
-    near = staged(sorted_parts.mapInArrow(against_first, "root long, rep long, near boolean, turn int").where("turn = 1").drop("turn"), "alike-first")
+    in_parts = others.unionByName(firsts).repartition("root", "part").sortWithinPartitions("root", "part", "turn")
+    near = staged(in_parts.mapInArrow(against_first, "root long, rep long, near boolean, turn int").where("turn = 1").drop("turn"), "alike-first")
     edges = edges.union(near.where("near AND rep != root").select("rep", "root"))
     rest = staged(near.where("NOT near").groupBy(F.col("root").alias("_left")).agg(F.count("*").alias("_rest")), "unlike-first")
     if not rest.count():
@@ -453,20 +375,17 @@ def alike_links(members: DataFrame, similarity: float, limit: int = MEMBERS, mos
     dealt = marked.withColumn("_of_rest", of_rest).withColumn(
         "block", F.when(F.col("near"), F.col("_of_rest") + F.pmod(F.xxhash64("rep"), of_near).cast("int")).otherwise(F.pmod(F.xxhash64("rep"), F.col("_of_rest")).cast("int"))
     )
-    others = F.when(F.col("near"), F.sequence(F.lit(0), F.col("_of_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("_of_rest") + of_near - 1))
-    dealt = dealt.withColumn("_other", F.explode(others)).select("root", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", "rep", "shingles")
+    against = F.when(F.col("near"), F.sequence(F.lit(0), F.col("_of_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("_of_rest") + of_near - 1))
+    dealt = dealt.withColumn("_other", F.explode(against)).select("root", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", "rep", "shingles")
 
     def pairs(batches):
-        for table in _streamed(batches, ["root", "lo", "hi"]):
-            of = _runs([table.column(k).to_numpy() for k in ("root", "lo", "hi")])
-            bounds = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
+        for table in streamed(batches, ["root", "lo", "hi"]):
             found = []
-            for at, to in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                t = table.slice(at, to - at)
+            for t in parts(table, ["root", "lo", "hi"]):
                 block, rep, sets = t.column("block").to_numpy(), t.column("rep").to_numpy(), sets_of(t)
                 left, right = np.flatnonzero(block == t.column("lo")[0].as_py()), np.flatnonzero(block == t.column("hi")[0].as_py())
-                found.append(_stars(rep, [alike(sets, left, right, similarity)]))
-            yield _edges(pa, found)
+                found.append(stars(rep, [alike(sets, left, right, similarity)]))
+            yield edge_batch(found)
 
     dealt = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
     return edges.union(dealt.mapInArrow(pairs, kind))
