@@ -104,6 +104,8 @@ def test_pieces_are_the_librarys(sf_dir):
     assert [mine.decode(i) for i in ids] == [theirs.decode(i) for i in ids]
     for odd in ([3, 131, 200, 264], [1, 264, 2, 0, 5], [28705, 264], [228, 200, 131]):
         assert mine.decode(odd) == theirs.decode(odd)
+    long = "".join(rng.choice("abcdefghij") for _ in range(120_000))
+    assert mine.encode([long, "a " + long[:3000]]) == theirs.encode([long, "a " + long[:3000]])
     words = ["aaaaaaa", "thethethe", "zzzz"]
     assert mine.encode_words(words) == [mine._ids(mine._one_by_one(w)) for w in words]
 
@@ -441,6 +443,25 @@ def test_license_cases(spark):
     assert len({r[3] for r in licenses._rules()}) > 20 and len(licenses._rules()) > 200
 
 
+def test_many_license_hits(spark):
+    """Work stays near linear in the hits of one text; detections are those of a plain fold."""
+    rng = random.Random(3)
+    some = ["mit license", "the mit license", "apache license version 2 0", "x", "gpl", "gnu general public license version 3", "licensed under the mit", "bsd 3 clause license"]
+    texts = [" ".join(rng.choice(some) for _ in range(n)) for n in (3, 40, 700)] + ["mit license x " * 30_000]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(found[3].detections) == found[3].n_base == 30_000
+    import re
+
+    for i, t in enumerate(texts[:3]):
+        spaced = " " + t.replace(" ", "  ") + " "
+        hits = []
+        for number, label, priority, keyword, rx in licenses._rules():
+            if keyword in spaced:
+                hits += [(spaced[: m.start()].count(" ") // 2, spaced[: m.end()].count(" ") // 2, priority, number, label) for m in re.finditer(rx, spaced)]
+        kept = [h for h in hits if not any(o[0] <= h[0] and o[1] >= h[1] and (o[2] > h[2] or o[2] == h[2] and (o[0] < h[0] or o[1] > h[1] or o[3] < h[3])) for o in hits)]
+        assert sorted(map(tuple, found[i].detections)) == sorted(kept)
+
+
 def strings_of(items):
     """Strings that a rule's parsed regex matches: with and without what is optional, with every alternative."""
     out = [""]

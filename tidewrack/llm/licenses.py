@@ -97,13 +97,21 @@ def scan(docs: DataFrame) -> DataFrame:
     hits = F.expr(f"""
       coalesce(array_sort(flatten(transform(filter(array({listed}), r -> contains(words, r.k)),
         r -> transform({word_places("words", "r.rx")}, x -> struct(x.s AS s, -x.e AS back, -r.p AS rank, r.i AS i, r.label AS label))))), {NO_HITS})""")
-    # in this order a detection comes after all that hold it; far[p] is how far those of priority p reach
-    kept = F.expr("""
-      aggregate(hits, struct(array_repeat(-1, 10) AS far, cast(array() AS array<struct<s:int,e:int,priority:int,rule:int,label:string>>) AS out),
-        (acc, x) -> if(exists(slice(acc.far, 1 - x.rank, 10), f -> f >= -x.back), acc,
-          struct(transform(acc.far, (f, j) -> if(j = -x.rank, greatest(f, -x.back), f)) AS far,
-                 concat(acc.out, array(struct(x.s AS s, -x.back AS e, -x.rank AS priority, x.i AS rule, x.label AS label))) AS out)),
-        acc -> acc.out)""")
+    # In this order a detection comes after all that hold it: it goes if one before it of its priority or more reaches its
+    # end. far[p] is how far those of priority p or more reach. The fold runs over chunks of the root of their number, once
+    # for what stands at the chunks' beginnings and once within each, so that many detections stay cheap.
+    reach = "transform({far}, (f, j) -> if(j <= -x.rank, greatest(f, -x.back), f))"
+    kept = F.expr(f"""
+      transform(array(struct(hits AS h, cast(ceil(sqrt(size(hits))) AS int) AS b)), z -> if(size(z.h) = 0, {NO_DETECTIONS},
+        transform(array(aggregate(
+            sequence(0, (size(z.h) - 1) div z.b), array(array_repeat(-1, 10)),
+            (acc, c) -> concat(acc, array(aggregate(slice(z.h, c * z.b + 1, z.b), element_at(acc, -1), (far, x) -> {reach.format(far="far")}))))), p ->
+          flatten(transform(sequence(0, (size(z.h) - 1) div z.b), c -> aggregate(
+            slice(z.h, c * z.b + 1, z.b),
+            struct(p[c] AS far, {NO_DETECTIONS} AS out),
+            (acc, x) -> struct({reach.format(far="acc.far")} AS far,
+              if(acc.far[-x.rank] >= -x.back, acc.out, concat(acc.out, array(struct(x.s AS s, -x.back AS e, -x.rank AS priority, x.i AS rule, x.label AS label)))) AS out),
+            acc -> acc.out))))[0]))[0]""")
     found = seen.withColumn("base", base).withColumn("hits", hits).withColumn("detections", kept)
     starts = F.flatten(F.transform("base", lambda b: F.transform(b["at"], lambda x: x["s"])))
     base_labels = F.transform(F.filter("base", lambda b: F.size(b["at"]) > 0), lambda b: b["label"])
@@ -121,6 +129,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 NO_PLACES = "cast(array() AS array<struct<s:int,e:int>>)"
+NO_DETECTIONS = "cast(array() AS array<struct<s:int,e:int,priority:int,rule:int,label:string>>)"
 NO_HITS = "cast(array() AS array<struct<s:int,back:int,rank:int,i:int,label:string>>)"
 
 

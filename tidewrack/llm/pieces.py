@@ -27,6 +27,8 @@ SHIFT = 21
 NO_RANK = np.iinfo(np.int64).max
 #: words that a worker keeps with their ids at most; then it starts anew
 KEPT_WORDS = 200_000
+#: most characters of a word that takes part in the rounds
+LONG_WORD = 1000
 
 
 def _fields(data: bytes):
@@ -127,7 +129,15 @@ class PieceCodec:
         return [list(chain.from_iterable(map(get, words))) for words in cut]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word (not empty), by merge rounds over all of them at once."""
+        """The ids of each word (not empty), by merge rounds over all of them at once.
+
+        A word beyond LONG_WORD characters would take as many rounds as it has
+        different pairs, so such words are merged one pair after the other.
+        """
+        long = [w for w in words if len(w) > LONG_WORD]
+        if long:
+            short = dict(zip((s := [w for w in words if len(w) <= LONG_WORD]), self.encode_words(s) if s else []))
+            return [short[w] if len(w) <= LONG_WORD else self._ids(self._one_by_one(w)) for w in words]
         length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         symbols = self.of_char[np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)]
         word = np.repeat(np.arange(len(words)), length)

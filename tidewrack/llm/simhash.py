@@ -145,7 +145,7 @@ class BKForest:
         order = np.argsort(edges, kind="stable")
         self.edges, self.ends = edges[order], ends[order]
 
-    def within(self, asked: np.ndarray, radius: int, most: int = 2_000_000):
+    def within(self, asked: np.ndarray, radius: int, most: int = 250_000):
         """Yields (asked, found): the places in the tree of each asked place, at radius or less, that come before it."""
         todo = [(asked, self.root[asked])]
         while todo:
@@ -298,8 +298,9 @@ def alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarit
     common = np.zeros((len(left), len(right)), dtype=np.float32)
     row_left, row_right = np.full(len(sets), -1), np.full(len(sets), -1)
     row_left[left], row_right[right] = np.arange(len(left)), np.arange(len(right))
-    step = max(64, 4_000_000 // max(len(sets), 1))
-    for at in range(0, int(shared.sum()), step):
+    columns = int(shared.sum())
+    step = min(columns, max(64, 1_000_000 // max(len(sets), 1)))
+    for at in range(0, columns, max(step, 1)):
         lo, hi = np.searchsorted(column, [at, at + step])
         own, col = owner[lo:hi], column[lo:hi] - at
         x, y = np.zeros((len(left), step), np.float32), np.zeros((len(right), step), np.float32)
