@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 
 def in_blocks(rows: DataFrame, blocks: Column, node: str) -> DataFrame:
     """rows, dealt by node into blocks and repeated for each pair of blocks (lo, hi) with their own, which is block."""
@@ -38,6 +40,7 @@ def streamed(batches, keys: list[str]):
             held.append(b)
     if held:
         yield pa.Table.from_batches(held)
+    released()
 
 
 def runs(columns: list[np.ndarray]) -> np.ndarray:

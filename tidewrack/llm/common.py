@@ -59,6 +59,21 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released() -> None:
+    """Hands a worker's freed memory back to the system, as workers wait for their next task with all they ever took."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_slices(batches, column: str, limit: int = 4_000_000):
     """Slices of Arrow batches of about limit bytes of text at most (a longer text comes alone), to bound a worker's memory."""
     import numpy as np
@@ -73,3 +88,4 @@ def text_slices(batches, column: str, limit: int = 4_000_000):
             stop = max(stop, at + 1)
             yield batch.slice(at, stop - at)
             at = stop
+    released()
