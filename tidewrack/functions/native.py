@@ -47,3 +47,17 @@ def reversed_bytes(gram: Column | str) -> Column:
     h = F.hex(col(gram))
     pairs = F.transform(F.sequence(F.lit(0), F.shiftright(F.length(h), 1) - 1), lambda i: F.substring(h, (F.length(h) - 1 - 2 * i).cast("int"), F.lit(2)))
     return F.when(F.length(h) == 0, col(gram)).otherwise(F.unhex(F.array_join(pairs, "")))
+
+
+def byte_slices(batches, column: str, limit: int = 1_000_000):
+    """Slices of Arrow batches of about limit bytes in a column at most (a longer value comes alone), as what is made of them may be many times that."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop

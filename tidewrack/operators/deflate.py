@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from ..functions.native import byte_slices
 
 LENGTH_ORDER = bytes.fromhex("10111200080709060a050b040c030d020e010f")
 LENGTHS = [(3 + i, 0) for i in range(8)] + [((4 + i % 4 << i // 4 - 1) + 3, i // 4 - 1) for i in range(8, 28)] + [(258, 0)]
@@ -267,25 +268,65 @@ def _body(bits: Bits, start: int, head: Header, p: int, segment: _Segment, until
         a = p >> 3
         segment.cells += [C.LITERAL | b for b in bits.data[a : a + head.size]]
         return Packet(start, p, p + head.size * 8, 0, head.final, first, head.size)
-    out, table, longest = segment.cells, head.literals.table, head.literals.longest
-    while until is None or p < until:
-        entry = table[bits.peek(p, longest)]
-        if entry < 0 or p + (entry & 15) > bits.limit:
+    # the hot loop: one look at the data a symbol, enough bits for a whole copy
+    out, data, limit, window = segment.cells, bits.data, bits.limit, segment.window
+    table, mask = head.literals.table, (1 << head.literals.longest) - 1
+    distant, far = head.distances.table, (1 << head.distances.longest) - 1
+    lengths, symbols, reach = LONG_LENGTHS if bits.wide else LENGTHS, 31 if bits.wide else 29, 9 if bits.wide else 8
+    number, append, literal = int.from_bytes, out.append, C.LITERAL
+    stop = limit + 64 if until is None else until
+    while p < stop:
+        at = p >> 3
+        v = number(data[at : at + reach], "little") >> (p & 7)
+        entry = table[v & mask]
+        n = entry & 15
+        q = p + n
+        if entry < 0 or q > limit:
             raise Damaged("no code", p)
-        symbol, q = entry >> 4, p + (entry & 15)
-        if until is not None and q > until:
-            break
+        symbol = entry >> 4
         if symbol < 256:
-            out.append(C.LITERAL | symbol)
-        elif symbol == 256:
+            if q > stop:
+                break
+            append(literal | symbol)
+            p = q
+            continue
+        if symbol == 256:
+            if q > stop:
+                break
             return Packet(start, head.body, q, head.kind, head.final, first, len(out) - first)
-        elif symbol > 285:
+        if symbol > 285:
             raise Damaged("no such length", p)
-        else:
-            length, q, distance = _match(bits, head, symbol, q)
-            if until is not None and q > until:
-                break
+        length, extra = lengths[symbol - 257]
+        v >>= n
+        if extra:
+            if q + extra > limit:
+                raise Damaged("the data end", q)
+            length += v & (1 << extra) - 1
+            v >>= extra
+            q += extra
+        entry = distant[v & far]
+        n = entry & 15
+        if entry < 0 or q + n > limit:
+            raise Damaged("no code", q)
+        q += n
+        symbol = entry >> 4
+        if symbol > symbols:
+            raise Damaged("no such distance", q)
+        distance, extra = DISTANCES[symbol]
+        if extra:
+            if q + extra > limit:
+                raise Damaged("the data end", q)
+            distance += v >> n & (1 << extra) - 1
+            q += extra
+        if q > stop:
+            break
+        source = len(out) - distance
+        if source < 0 or distance > window:
             segment.copy(length, distance, p)
+        elif distance >= length:
+            out += out[source : source + length]
+        else:
+            out += (out[source:] * (length // distance + 1))[:length]
         p = q
     raise Damaged("corruption", until if until is not None else p)
 
@@ -535,7 +576,7 @@ def decoded(streams: DataFrame) -> DataFrame:
     columns = [c for c in ("known_start", "corrupt_from", "corrupt_to", "deflate64") if c in streams.columns]
 
     def run(batches):
-        for b in batches:
+        for b in byte_slices(batches, "body"):
             rows = []
             extra = {c: b.column(c).to_pylist() for c in columns}
             for i, body in enumerate(b.column("body").to_pylist()):
@@ -544,6 +585,10 @@ def decoded(streams: DataFrame) -> DataFrame:
                 if "corrupt_from" in extra and extra["corrupt_from"][i] is not None:
                     bad = (extra["corrupt_from"][i], extra["corrupt_to"][i])
                 wide = "deflate64" in extra and bool(extra["deflate64"][i])
+                whole = _intact(body) if known and bad is None and not wide and body is not None else None
+                if whole is not None:
+                    rows.append(((np.frombuffer(whole, dtype=np.uint8) | np.uint32(C.LITERAL)).astype("<u4").tobytes(), len(whole), len(whole), 0, 0, 0, True))
+                    continue
                 d = recover(body, bool(known), bad, wide) if body is not None else Decoded()
                 cells = np.array(d.cells, dtype="<u4")
                 unknown = int(C.is_unknown(cells).sum())
@@ -577,7 +622,7 @@ def packets(streams: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for b in batches:
+        for b in byte_slices(batches, "body"):
             ids, rows = [], []
             for i, body in zip(b.column("id").to_pylist(), b.column("body").to_pylist()):
                 found = recover_blocks(body or b"")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 from ..functions.cells import CONFIDENCE_LEVELS
 from ..sources.staging import staged
+from . import inference
 
 LEAST_CONTEXT = 2
 LONGEST = 5
@@ -112,8 +113,11 @@ def center_scores(found: DataFrame, ngrams: DataFrame, averages: DataFrame, long
 # ---- constraints
 
 
-def forbidden(byte: Column, before: Column, after: Column, encoding: str = "utf8") -> Column:
-    """Whether a byte can't stand between its neighbours (null: unknown) in an encoding."""
+def forbidden(byte: Column, before: Column, after: Column, encoding: str = "utf8", zero: Column | None = None) -> Column:
+    """Whether a byte can't stand between its neighbours (null: unknown) in an encoding.
+
+    zero, for ascii16: whether the place is one of those that hold zeros (null: not known).
+    """
     if encoding == "utf8":
         continuation = byte.between(0x80, 0xBF)
         return (
@@ -125,20 +129,58 @@ def forbidden(byte: Column, before: Column, after: Column, encoding: str = "utf8
         )
     if encoding == "euc":
         return F.coalesce((before < 0x80) & (after < 0x80) & (byte >= 0x80), F.lit(False))
+    if encoding == "ascii16" and zero is not None:
+        return F.coalesce(F.when(zero, byte != 0).otherwise(F.when(~zero, byte == 0)), F.lit(False))
     return F.lit(False)
 
 
+def zero_places(cells: DataFrame) -> DataFrame:
+    """(id, parity): whether the even (0) or the odd (1) places of a span of 16-bit text hold zeros, by its pairs of literals.
+
+    Spans without such a pair, or whose pairs disagree, are left out.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            ids, found = [], []
+            for i, packed in zip(b.column("id").to_pylist(), b.column("cells").to_pylist()):
+                c = C.unpack(packed)
+                c = c[: len(c) // 2 * 2].reshape(-1, 2)
+                both = c[C.is_known(c).all(axis=1)] & 0xFF
+                one = {int(x) for x in np.unique(np.where((both == 0)[:, 0], 0, 1)[(both == 0).sum(1) == 1])}
+                if len(one) == 1:
+                    ids.append(i)
+                    found.append(one.pop())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column("id").type), pa.array(found, pa.int32())], ["id", "parity"])
+
+    return cells.select("id", "cells").mapInArrow(run, f"id {cells.schema['id'].dataType.simpleString()}, parity int")
+
+
 def forbidden_line_end(byte: Column, before: Column, after: Column, ending: Column) -> Column:
     """Whether a byte breaks the line ends of its model: with CRLF both stand together, else the other one doesn't occur."""
     lone = F.coalesce((byte == 13) & (after != 10), F.lit(False)) | F.coalesce((byte == 10) & (before != 13), F.lit(False))
     return F.when(ending == "CRLF", lone).when(ending == "LF", byte == 13).when(ending == "CR", byte == 10).otherwise(False)
 
 
-def candidates(found: DataFrame, encoding: str = "utf8") -> DataFrame:
+def constraints(found: DataFrame, parity: DataFrame | None = None) -> DataFrame:
+    """(id, coindex, before, after, zero, times): what the occurrences of an unknown have around them, and how often."""
+    zero = F.lit(None).cast("boolean")
+    if parity is not None:
+        found = found.join(parity.select(F.col("id").alias("_id"), "parity"), F.col("id") == F.col("_id"), "left")
+        zero = F.col("pos") % 2 == F.col("parity")
+    return found.groupBy("id", "coindex", _last("left").alias("before"), _first("right").alias("after"), zero.alias("zero")).agg(F.count("*").alias("times"))
+
+
+def _no(encoding: str, ending: str | None) -> Column:
+    bad = forbidden(F.col("byte"), F.col("before"), F.col("after"), encoding, F.col("zero"))
+    return bad if ending is None or "16" in encoding else bad | forbidden_line_end(F.col("byte"), F.col("before"), F.col("after"), F.lit(ending))
+
+
+def candidates(found: DataFrame, encoding: str = "utf8", ending: str | None = None, parity: DataFrame | None = None) -> DataFrame:
     """(id, coindex, byte): the bytes that every occurrence of an unknown allows; all 256 where that leaves none."""
-    near = found.select("id", "coindex", _last("left").alias("before"), _first("right").alias("after")).distinct()
-    each = near.withColumn("byte", F.explode(F.sequence(F.lit(0), F.lit(255))))
-    left = each.groupBy("id", "coindex", "byte").agg(F.max(forbidden(F.col("byte"), F.col("before"), F.col("after"), encoding)).alias("_no"))
+    each = constraints(found, parity).withColumn("byte", F.explode(F.sequence(F.lit(0), F.lit(255))))
+    left = each.groupBy("id", "coindex", "byte").agg(F.max(_no(encoding, ending)).alias("_no"))
     none = F.min("_no").over(Window.partitionBy("id", "coindex"))
     return left.withColumn("_none", none).where("NOT _no OR _none").select("id", "coindex", "byte")
 
@@ -159,15 +201,11 @@ def _first(c: str) -> Column:
 # ---- selection
 
 
-def summed(found: DataFrame, scores: list[DataFrame], encoding: str = "utf8") -> DataFrame:
-    """(id, coindex, byte, score, seen, occurrences): all scores added by unknown and byte, without bytes that an occurrence forbids."""
-    parts = scores[0]
-    for s in scores[1:]:
-        parts = parts.unionByName(s)
-    totals = parts.groupBy("id", "coindex", "byte").agg(F.sum("score").alias("score"))
-    seen = parts.select("id", "coindex", "pos").distinct().groupBy("id", "coindex").agg(F.count("*").alias("seen"))
-    near = found.groupBy("id", "coindex", _last("left").alias("before"), _first("right").alias("after")).agg(F.count("*").alias("_times"))
-    bad = totals.join(near, ["id", "coindex"]).where(forbidden(F.col("byte"), F.col("before"), F.col("after"), encoding)).select("id", "coindex", "byte").distinct()
+def summed(found: DataFrame, scores: DataFrame, encoding: str = "utf8", ending: str | None = None, parity: DataFrame | None = None) -> DataFrame:
+    """(id, coindex, byte, score, seen, occurrences): scores (id, coindex, pos, byte, score) added by unknown and byte, without bytes that an occurrence forbids."""
+    totals = scores.groupBy("id", "coindex", "byte").agg(F.sum("score").alias("score"))
+    seen = scores.select("id", "coindex", "pos").distinct().groupBy("id", "coindex").agg(F.count("*").alias("seen"))
+    bad = totals.join(constraints(found, parity), ["id", "coindex"]).where(_no(encoding, ending)).select("id", "coindex", "byte").distinct()
     return totals.join(bad, ["id", "coindex", "byte"], "left_anti").join(seen, ["id", "coindex"]).join(wildcard_counts(found), ["id", "coindex"])
 
 
@@ -231,47 +269,112 @@ def apply_replacements(cells: DataFrame, replacements: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, cells.schema)
 
 
-def reconstruct(cells: DataFrame, ngrams: DataFrame, averages: DataFrame | None = None, rounds: int = 4, encoding: str = "utf8", aggressive: bool = True, align: bool = True, local_weight: float = 0.0, prune: bool = False) -> DataFrame:
+def position_scores(found: DataFrame, grams: DataFrame, averages: DataFrame | None = None) -> DataFrame:
+    """(id, coindex, pos, byte, score) of the unknown positions found: left, right and, with averages (n, avgfreq), center contexts."""
+    scores = side_scores(found, grams, "left").unionByName(side_scores(found, grams, "right"))
+    return scores if averages is None else scores.unionByName(center_scores(found, grams, averages))
+
+
+def rescored(found: DataFrame, grams: DataFrame, averages: DataFrame | None, before: DataFrame, scores: DataFrame) -> DataFrame:
+    """position_scores of found, of which those stay that (found) before had with the same bytes around them and so the same scores."""
+    around = ["id", "coindex", "pos", "left", "right", "weight"]
+    same = found.join(before.select(around), around, "left_semi").select("id", "pos")
+    changed = found.join(before.select(around), around, "left_anti")
+    return scores.join(same, ["id", "pos"], "left_semi").select(scores.columns).unionByName(position_scores(changed, grams, averages))
+
+
+def reconstruct(
+    cells: DataFrame,
+    ngrams: DataFrame,
+    averages: DataFrame | None = None,
+    rounds: int | None = None,
+    encoding: str = "utf8",
+    aggressive: bool = True,
+    align: bool = True,
+    local_weight: float = 0.0,
+    prune: bool = False,
+    ending: str | None = None,
+    iterations: int = 1,
+) -> DataFrame:
     """cells (id, cells, ...) with unknown bytes inferred from ngrams (n, gram, freq), in rounds.
 
+    A round takes the surest of each span; only positions next to what it fixed
+    are scored again. When a round finds nothing sure any more, it takes all whose
+    best byte is 1.2 times the second (if aggressive), until that gives nothing
+    either. Then align takes from before a gap what agrees with the bytes found
+    behind it, and rounds begin anew: iterations times, or as often as a span has
+    segments, but only while that still fixes something. rounds bounds their
+    number, where less time is worth more than the last bytes.
+
     local_weight adds the counts of the cells' own literal runs, so weighted, to
     the model's; prune leaves out candidates below 0.2 of their unknown's best;
-    align, last, takes from before a gap what agrees with the bytes found behind it.
+    ending (CRLF, CR, LF) and encoding (utf8, euc, ascii16) forbid bytes; in
+    ascii16 those that are left alone are fixed first.
 
-    Each round takes the surest of each span, the last one all whose best byte is
-    1.2 times the second. Rounds are written to the shared folder. It ends early
-    when no unknown has a score. The order is confidence, then co-index.
+    A model of no more than inference.MOST_GRAMS n-grams is sent to the spans,
+    where the rounds run on arrays; for others, and with averages, rounds are
+    joins, written to the shared folder. The order is confidence, then co-index.
     """
     grams = ngrams.groupBy("n", "gram").agg(F.sum("freq").alias("freq"))
     if local_weight:
         own = local_ngrams(cells).groupBy("n", "gram").agg(F.sum("freq").alias("freq"))
         both = grams.select("n", "gram", F.col("freq").cast("double").alias("freq")).unionByName(own.select("n", "gram", (F.col("freq") * local_weight).alias("freq")))
-        grams = staged(both.groupBy("n", "gram").agg(F.sum("freq").alias("freq")), "grams")
+        grams = both.groupBy("n", "gram").agg(F.sum("freq").alias("freq"))
+    grams = staged(grams, "grams")
+    if averages is None and encoding != "ascii16" and grams.count() <= inference.MOST_GRAMS:
+        rules = inference.Rules(encoding, ending, aggressive, align, prune, rounds, iterations)
+        return inference.inferred(cells, grams, rules, lambda c, known: _align(c, None, known))
+    parity = None
     made: list[DataFrame] = []
-    for k in range(rounds):
-        found = staged(occurrences(cells), "occurrences")
-        if found.isEmpty():
-            break
-        scores = [side_scores(found, grams, "left"), side_scores(found, grams, "right")]
-        if averages is not None:
-            scores.append(center_scores(found, grams, averages))
-        totals = summed(found, scores, encoding)
-        if prune:
-            totals = staged(totals, "totals")
-            totals = totals.join(unsupported(totals), ["id", "coindex", "byte"], "left_anti")
-        rank = staged(ranked(top_two(totals)), "ranked")
-        last = k == rounds - 1
-        fixed = chosen(rank, ratio=FINAL_RATIO if last and aggressive else None, share=TOP_SHARE if last or not aggressive else 0.5)
-        if aggressive and not last:
-            fixed = fixed.unionByName(chosen(rank, ratio=AGGRESSIVE_RATIO)).dropDuplicates(["id", "coindex"])
+
+    def fix(fixed: DataFrame) -> bool:
+        nonlocal cells
         fixed = staged(fixed, "replacements")
+        if fixed.isEmpty():
+            return False
         made.append(fixed)
         cells = staged(apply_replacements(cells, fixed), "cells")
-    if align and made:
+        return True
+
+    if encoding == "ascii16":
+        parity = staged(zero_places(cells), "parity")
+        fix(unambiguous(candidates(occurrences(cells), encoding, ending, parity)))
+    turns = iterations
+    if "discontinuities" in cells.columns:
+        turns = max(turns, 1 + (cells.agg(F.max("discontinuities")).first()[0] or 0))
+    before = scores = None
+    done = 0
+    for _ in range(turns):
+        last = False
+        while rounds is None or done < rounds:
+            last = last or done + 1 == rounds
+            done += 1
+            found = staged(occurrences(cells), "occurrences")
+            if found.isEmpty():
+                break
+            scores = staged(position_scores(found, grams, averages) if before is None else rescored(found, grams, averages, before, scores), "scores")
+            before = found
+            totals = summed(found, scores, encoding, ending, parity)
+            if prune:
+                totals = staged(totals, "totals")
+                totals = totals.join(unsupported(totals), ["id", "coindex", "byte"], "left_anti")
+            rank = staged(ranked(top_two(totals)), "ranked")
+            fixed = chosen(rank, ratio=FINAL_RATIO if last and aggressive else None, share=TOP_SHARE if not aggressive else 0.5)
+            if aggressive and not last:
+                fixed = fixed.unionByName(chosen(rank, ratio=AGGRESSIVE_RATIO)).dropDuplicates(["id", "coindex"])
+            if not fix(fixed):
+                if last or not aggressive:
+                    break
+                last = True
+        if not align or not made:
+            break
         known = made[0]
         for m in made[1:]:
             known = known.unionByName(m)
-        cells = aligned(cells, known)
+        left = occurrences(cells).count()
+        cells = staged(aligned(cells, known), "cells")
+        if occurrences(cells).count() == left:
+            break
     return cells
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import deflate, ngrams, reconstruct, signatures, spans, words
@@ -20,7 +20,9 @@ class RecoverOptions:
     scan: ScanOptions = field(default_factory=ScanOptions)
     format: str = "text"
     junk_paths: bool = False
-    rounds: int = 4
+    rounds: int | None = None
+    iterations: int = 1
+    ending: str | None = None
     aggressive: bool = True
     align: bool = True
     local_weight: float = 0.0
@@ -29,6 +31,10 @@ class RecoverOptions:
     unknown: int = sinks.UNKNOWN
 
 
+def member_id(*parts: str) -> Column:
+    return F.concat_ws("/", *(F.col(p).cast("string") for p in parts))
+
+
 def find_spans(blobs: DataFrame, options: RecoverOptions = RecoverOptions()) -> DataFrame:
     """The spans of blobs (blob_id, content), with member_id, a name for each."""
     numbered = spans.archives(spans.filtered(signatures.signatures(blobs, options.scan)))
@@ -37,19 +43,24 @@ def find_spans(blobs: DataFrame, options: RecoverOptions = RecoverOptions()) ->
     named = found.join(lost, (F.col("blob_id") == F.col("_b")) & (F.col("archive_no") == F.col("_a")), "left")
     # a member whose local header is gone has the name that the directory puts before the first left
     named = named.withColumn("name_hint", F.coalesce("name_hint", F.when(F.col("rule") == "R12", F.col("_lost")))).drop("_b", "_a", "_lost")
-    member = F.concat_ws("/", F.col("blob_id").cast("string"), F.col("archive_no").cast("string"), F.col("span_no").cast("string"))
-    return named.withColumn("member_id", member)
+    return named.withColumn("member_id", member_id("blob_id", "archive_no", "span_no"))
 
 
 def recover_members(blobs: DataFrame, options: RecoverOptions = RecoverOptions()) -> DataFrame:
     """The members of blobs: member_id, blob_id, archive_no, span_no, kind, name, orig_size, cells, bytes, known, unknown, discontinuities, complete.
 
     Spans are cut out of their blob by a join on blob_id, stored members taken as
-    they are, deflated ones decoded as far as they go. Codecs that are only
-    handed on (bz2, wpk, rar) are left to spans.raw_members.
+    they are, deflated ones decoded as far as they go. Streams of codecs that are
+    only handed on (bz2, wpk, rar) are members too: as they stand, RAR ones behind
+    an archive's head.
     """
-    found = staged(find_spans(blobs, options).where("kind NOT IN ('bz2', 'wpk', 'rar')"), "spans")
-    cut = found.join(blobs.select("blob_id", "content"), "blob_id").select(
+    found = staged(find_spans(blobs, options), "spans")
+    # a RAR header is met twice: as the one before, and as the one behind what precedes it
+    again = found.where("rule = 'R9'").select("blob_id", "archive_no", "start").withColumn("rule", F.lit("R19"))
+    found = found.join(again, ["blob_id", "archive_no", "start", "rule"], "left_anti")
+    raw = spans.raw_members(blobs.select("blob_id", "content"), found.where("kind IN ('bz2', 'wpk', 'rar')"))
+    raw = raw.select(member_id("blob_id", "archive_no", "span_no").alias("id"), "body")
+    cut = found.where("kind NOT IN ('bz2', 'wpk', 'rar')").join(blobs.select("blob_id", "content"), "blob_id").select(
         "member_id",
         "method",
         F.col("known_start"),
@@ -59,7 +70,7 @@ def recover_members(blobs: DataFrame, options: RecoverOptions = RecoverOptions()
     stored = cut.where("method = 0").select(F.col("member_id").alias("id"), "body")
     packed = cut.where("method IS NULL OR method <> 0").select(F.col("member_id").alias("id"), "body", "known_start", F.coalesce("deflate64", F.lit(False)).alias("deflate64"))
     decoded = deflate.decoded(packed).drop("blocks")
-    plain = deflate.literal_cells(stored)
+    plain = deflate.literal_cells(stored.unionByName(raw))
     names = ["member_id", "blob_id", "archive_no", "span_no", "kind", F.col("name_hint").alias("name"), "orig_size"]
     both = decoded.unionByName(plain)
     return found.join(both, F.col("member_id") == F.col("id")).select(*names, "cells", "bytes", "known", "unknown", "discontinuities", "complete")
@@ -68,11 +79,14 @@ def recover_members(blobs: DataFrame, options: RecoverOptions = RecoverOptions()
 def recover(blobs: DataFrame, options: RecoverOptions = RecoverOptions(), model: DataFrame | None = None, averages: DataFrame | None = None) -> DataFrame:
     """What members are written as: member_id, name, and body (text), html, cells, or the listing's columns. With a model unknown bytes are inferred first."""
     members = staged(recover_members(blobs, options), "members")
-    cells = members.select(F.col("member_id").alias("id"), "cells")
+    cells = members.select(F.col("member_id").alias("id"), "cells", "discontinuities")
     if model is not None:
-        cells = reconstruct.reconstruct(cells, model, averages, options.rounds, options.encoding, options.aggressive, options.align, options.local_weight, options.prune)
+        cells = reconstruct.reconstruct(cells, model, averages, options.rounds, options.encoding, options.aggressive, options.align, options.local_weight, options.prune, options.ending, options.iterations)
     base = F.concat(F.lit("member-"), F.col("archive_no").cast("string"))
-    name = sinks.output_name(F.col("name"), base, F.col("span_no").cast("long"), junk_paths=options.junk_paths, as_html=options.format == "html")
+    kept = F.col("kind").isin("bz2", "wpk", "rar")
+    own = F.when(~kept, F.col("name"))  # what is handed on is no plain file of its header's name
+    names = {x: sinks.output_name(own, base, F.col("span_no").cast("long"), x, options.junk_paths, options.format == "html") for x in ("dat", "bz2", "wpk", "rar")}
+    name = F.when(kept, F.coalesce(*(F.when(F.col("kind") == x, names[x]) for x in ("bz2", "wpk", "rar")))).otherwise(names["dat"])
     named = members.select(F.col("member_id").alias("_id"), name.alias("name"))
     if options.format == "listing":
         return deflate.listing(members.select(F.col("member_id").alias("id"), "bytes", "known"))
