@@ -636,6 +636,92 @@ def packets(streams: DataFrame) -> DataFrame:
     return streams.select("id", "body").mapInArrow(run, f"id {kind}, packet_no int, start_bit long, body_bit long, end_bit long, kind int, final boolean, offset long, size long")
 
 
+def checkpoints(data: bytes, step: int = 64) -> list[tuple[int, int]]:
+    """(position, bit): for every step of decoded bytes, the bit from which the first symbol at or behind it is read; the last is the end."""
+    bits, at, made, found = Bits(data), 0, 0, []
+    while at < bits.limit:
+        try:
+            head = read_header(bits, at)
+            if head.kind == 0:
+                for k in range(-(-made // step) * step, made + head.size, step):
+                    found.append((k, head.body + (k - made) * 8))
+                made, p = made + head.size, head.body + head.size * 8
+            else:
+                p = head.body
+                while True:
+                    if made >= (found[-1][0] + step if found else 0):
+                        found.append((made // step * step, p))
+                    symbol, p = head.literals.next(bits, p)
+                    if symbol == 256:
+                        break
+                    if symbol > 285:
+                        raise Damaged("no such length", p)
+                    if symbol < 256:
+                        made += 1
+                    else:
+                        length, p, _ = _match(bits, head, symbol, p)
+                        made += length
+            at = p
+        except Damaged as e:
+            at = max(at, min(e.at, bits.limit))
+            break
+        if head.final:
+            break
+    return [*found, (made, at)]
+
+
+def stream_checkpoints(streams: DataFrame, step: int = 64) -> DataFrame:
+    """(id, pos, bit) of raw DEFLATE streams (id, body): where in the stream decoded bytes come from, see checkpoints()."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in byte_slices(batches, "body"):
+            ids, rows = [], []
+            for i, body in zip(b.column("id").to_pylist(), b.column("body").to_pylist()):
+                found = checkpoints(body or b"", step)
+                ids += [i] * len(found)
+                rows += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column("id").type), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["id", "pos", "bit"])
+
+    return streams.select("id", "body").mapInArrow(run, f"id {streams.schema['id'].dataType.simpleString()}, pos long, bit long")
+
+
+def corrupt_bytes(ranges: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, corrupt_from, corrupt_to): the bytes of a stream behind the first corrupt range (id, start, end) of what it decodes to, by checkpoints (id, pos, bit)."""
+    first = ranges.groupBy("id").agg(F.min_by("end", "start").alias("_end"), F.min("start").alias("_start"))
+    both = places.join(first, "id")
+    return both.groupBy("id").agg(
+        F.floor(F.max(F.when(F.col("pos") <= F.col("_start"), F.col("bit"))) / 8).cast("long").alias("corrupt_from"),
+        F.ceil(F.coalesce(F.min(F.when(F.col("pos") >= F.col("_end"), F.col("bit"))), F.max("bit")) / 8).cast("long").alias("corrupt_to"),
+    )
+
+
+def stage_counts(streams: DataFrame) -> DataFrame:
+    """(metric, value): how many places of streams (id, body) pass each stage of the block search."""
+    import pyarrow as pa
+    from collections import Counter
+
+    def run(batches):
+        counts: Counter = Counter()
+        for b in byte_slices(batches, "body"):
+            for body in b.column("body").to_pylist():
+                bits = Bits(body or b"")
+                for at in candidates(body or b"", 0, bits.limit).tolist():
+                    counts["candidate_dynhuff_packet"] += 1
+                    try:
+                        head = read_header(bits, at)
+                        counts["valid_huffman_tree"] += 1
+                        _body(bits, at, head, head.body, _Segment(0, False))
+                        counts["valid_EOD_marker"] += 1
+                    except Damaged as e:
+                        counts["invalid_bit_lengths" if "codes" in str(e) else "invalid_bitlength_tree" if "repeat" in str(e) else "no_end_of_block"] += 1
+                for p in recover_blocks(body or b""):
+                    counts[("valid_uncomp_packet", "valid_fixed_packet", "valid_dynhuff_packet")[p.kind]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["metric", "value"])
+
+    return streams.select("body").mapInArrow(run, "metric string, value long").groupBy("metric").agg(F.sum("value").alias("value"))
+
+
 def recover_blocks(data: bytes) -> list[Packet]:
     """The blocks of a stream from its start, up to the final one or the first that doesn't decode."""
     bits, segment, at, found = Bits(data), _Segment(0, True), 0, []

@@ -363,7 +363,29 @@ def corrupt_stretches(spark, d) -> DataFrame:
 
 CORRUPT_STRETCHES_SQL = """SELECT doc_id AS id, s AS start, (least(s + 128, length(text) // 64 * 64) + 512)::BIGINT AS "end" FROM (SELECT doc_id, text, unnest(range(0, length(text) + 1, 896)) AS s FROM documents)"""
 
+def recovery_counters(spark, d) -> DataFrame:
+    """Every counter of a whole recovery: of stored archives, and of texts with holes that are filled with what stood there."""
+    members = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("archive_id"), F.col("turn").alias("ord"), F.format_string("turn%d.txt", "turn").alias("name"), F.encode("text", "UTF-8").alias("body"))
+    archives = staged(blobs.stored_zip(members), "zips")
+    holes = staged(_holes(spark, d), "holes")
+    truth = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("original"))
+    asked = reconstruct.occurrences(holes, 0).join(truth, "id")
+    right = asked.select("id", "coindex", F.conv(F.hex(F.expr("substring(original, cast(pos + 1 AS int), 1)")), 16, 10).cast("int").alias("byte"), F.lit(62).alias("confidence"))
+    filled = staged(reconstruct.apply_replacements(holes, right.where("coindex % 3 > 0")), "filled")
+    return recover.counters(signatures.signatures(archives), recover.recover_members(archives), None, holes, filled, reconstruct.accuracy(filled, truth))
+
+
+RECOVERY_COUNTERS_SQL = """WITH c AS (SELECT count(*) AS n, count(DISTINCT conv_id) AS blobs FROM conversations),
+t AS (SELECT octet_length(encode(text)) AS n FROM documents),
+w AS (SELECT sum(n)::BIGINT AS total, sum(holes)::BIGINT AS unknown, sum(holes // 3)::BIGINT AS open FROM (SELECT n, CASE WHEN n > 48 THEN (n - 49) // 97 + 1 ELSE 0 END AS holes FROM t)),
+m AS (SELECT unnest(['gzip_file_header', 'zlib_file_header', 'ALZip_file_header', 'FlateDecode_file_header', 'rar_marker', 'rar_file_header', 'lzip_marker', 'cabinet_marker', 'SevenZip_signature', 'Xz_signature', 'Deflate_syncmarker',
+    'local_file_header', 'central_dir_entry', 'end_of_central_dir', 'uncompressed_files_recovered', 'complete_comp_files_recovered', 'truncated_files_recovered', 'file_tails_recovered',
+    'unknown_bytes', 'replacements_needed', 'bytes_replaced', 'replacements_found', 'reconst_unaltered', 'total_bytes', 'identical_bytes', 'reconst_bytes', 'reconst_correct', 'reconst_correct_casefolded']) AS metric,
+  unnest([0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, n, n, blobs, n, 0, 0, 0, unknown, unknown, unknown - open, unknown - open, open, total, total - open, unknown - open, unknown - open, 0]) AS value FROM c, w)
+SELECT metric, value::BIGINT AS value FROM m"""
+
 QUERIES = {
+    "recovery_counters": (recovery_counters, RECOVERY_COUNTERS_SQL),
     "signature_cases": (signature_cases, signature_cases_sql()),
     "span_cases": (span_cases, span_cases_sql()),
     "filter_cases": (filter_cases, filter_cases_sql()),
