@@ -89,6 +89,16 @@ def test_quality_on_held_out_rows(spark, sf_dir):
     assert sum(r.predicted == r.quality for r in found) / len(found) > 0.9
 
 
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    rows = [(i, ("sun sea hill " if i % 2 else "SUN | SEA | ") * 30) for i in range(400)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    whole = quality.fitted(docs, marks)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 390 * 30)
+    few = quality.fitted(docs, marks)
+    scores = [m.scores([rows[0][1], rows[1][1]]) for m in (whole, few)]
+    assert all(low < 0.3 < high for low, high in scores) and not np.array_equal(*scores)
+
+
 # ---- 2 SentencePiece
 
 

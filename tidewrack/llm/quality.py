@@ -28,6 +28,8 @@ from .common import fresh, text_slices
 
 #: labelled rows that are fitted to at most, taken by the md5 of their doc_id
 SAMPLE_ROWS = 6000
+#: bytes of their texts at about which no further row is taken
+SAMPLE_BYTES = 100_000_000
 #: words with a vector at most, by frequency in the sample; others go by their shape
 VOCABULARY = 20_000
 DIMENSIONS = 96
@@ -183,24 +185,29 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    """The model of the labelled rows that aren't held out: SAMPLE_ROWS of them at most, by the md5 of doc_id.
+    """The model of the labelled rows that aren't held out: SAMPLE_ROWS of them at most, by the md5 of doc_id, while their texts are within SAMPLE_BYTES.
 
     A doc_id with several labels counts by the highest; rows without a text or a
     quality are left out.
     """
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(SAMPLE_ROWS)
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    turn = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("turn", turn)
 
     def run(frames):
         import pandas as pd
 
-        parts = list(frames)
+        parts, size = [], 0
+        for f in frames:
+            before = size + f["text"].str.len().cumsum().shift(fill_value=0)
+            parts.append(f[before < SAMPLE_BYTES])
+            size += int(f["text"].str.len().sum())
         rows = pd.concat(parts).sort_values(["doc_id", "text"]) if parts else pd.DataFrame({"text": [], "quality": []})
         model = fit(rows["text"].tolist(), rows["quality"].to_numpy(dtype=np.int64) if len(rows) else np.zeros(0, np.int64))
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    return pickle.loads(texts.repartition(1).mapInPandas(run, "model binary").first()["model"])
+    return pickle.loads(texts.repartition(1).sortWithinPartitions("turn", "doc_id", "text").mapInPandas(run, "model binary").first()["model"])
 
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, to: str = "score") -> DataFrame:

@@ -232,6 +232,9 @@ def find(docs: DataFrame, rules: list[tuple[str, str, int, int]] = RULES) -> Dat
     parts = []
     for k, ((_, rx, group, least), query) in enumerate(zip(rules, queries)):
         candidate = F.lit(True) if query is True else answer(query, lambda t: F.array_contains("posted", t))
+        if not group:
+            # a run of one class is matched whole or not at all, so its least length can stand in the regex
+            rx = _long_enough(rx, group, least)
         found = F.when(candidate & F.col("text").rlike(rx), F.expr(matches("text", rx, group))).otherwise(F.expr(NONE))
         parts.append(_kept(found, k, least))
     return held.select("doc_id", F.array_sort(F.concat(*parts)).alias("found"))
