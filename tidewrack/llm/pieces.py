@@ -141,14 +141,11 @@ class PieceCodec:
         length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         symbols = self.of_char[np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)]
         word = np.repeat(np.arange(len(words)), length)
+        rank, pair = self._ranked(symbols, word, np.arange(len(symbols)))
         out_word, out_symbols, strict = [], [], []
         last = np.full(len(words), -1, dtype=np.int64)  # the rank of a word's last round if that merged several places
         while len(symbols):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            key = symbols[:-1] << SHIFT | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.full(len(symbols), NO_RANK)
-            rank[:-1] = np.where((self.keys[at] == key) & (word[1:] == word[:-1]), self.ranks[at], NO_RANK)
             lowest = np.minimum.reduceat(rank, starts)
             names = word[starts]
             # a pair of no higher rank than those merged at once before may have had to go first
@@ -161,14 +158,10 @@ class PieceCodec:
                 out_word.append(word[done])
                 out_symbols.append(symbols[done])
                 stay = np.repeat(active, sizes)
-                symbols, word, rank = symbols[stay], word[stay], rank[stay]
-                at = at[stay[:-1]] if len(stay) and stay[-1] else np.r_[at, 0][stay]
-                at = np.r_[at, 0][: len(symbols)]
+                symbols, word, rank, pair = symbols[stay], word[stay], rank[stay], pair[stay]
                 lowest, names, sizes = lowest[active], names[active], sizes[active]
                 if not len(symbols):
                     break
-            else:
-                at = np.r_[at, 0]
             best = np.flatnonzero(rank == np.repeat(lowest, sizes))
             # of places in a row every other, from the left
             fresh = np.r_[True, best[1:] != best[:-1] + 1]
@@ -176,22 +169,35 @@ class PieceCodec:
             best = best[(place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0]
             merges = np.bincount(word[best], minlength=len(words))
             last[names] = np.where(merges[names] > 1, lowest, -1)
-            symbols[best] = self.merged[at[best]]
-            left = np.ones(len(symbols), dtype=bool)
+            symbols[best] = self.merged[pair[best]]
+            left, changed = np.ones(len(symbols), dtype=bool), np.zeros(len(symbols), dtype=bool)
             left[best + 1] = False
-            symbols, word = symbols[left], word[left]
+            changed[best] = changed[best[best > 0] - 1] = True  # the pairs that a merge is part of
+            symbols, word, rank, pair = symbols[left], word[left], rank[left], pair[left]
+            at = np.flatnonzero(changed[left])
+            rank[at], pair[at] = self._ranked(symbols, word, at)
         results: list[list[int]] = [[]] * len(words)
         if out_word:
             word, symbols = np.concatenate(out_word), np.concatenate(out_symbols)
             order = np.argsort(word, kind="stable")
             word, symbols = word[order], symbols[order]
-            bounds = np.flatnonzero(np.r_[True, word[1:] != word[:-1], True])
-            for w, flat in zip(word[bounds[:-1]].tolist(), np.split(symbols, bounds[1:-1])):
-                results[w] = self._ids(flat.tolist())
+            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            plain = (np.maximum.reduceat(symbols, starts) < self.n).tolist()
+            flat = list(map(self.own.__getitem__, np.minimum(symbols, self.n - 1).tolist()))
+            for w, lo, hi, all_pieces in zip(word[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(word)], plain):
+                results[w] = flat[lo:hi] if all_pieces else self._ids(symbols[lo:hi].tolist())
         for w in strict:
             results[w] = self._ids(self._one_by_one(words[w]))
         return results
 
+    def _ranked(self, symbols: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank, and the place among all pairs, of the pairs that begin at the places at."""
+        after = np.minimum(at + 1, len(symbols) - 1)
+        key = symbols[at] << SHIFT | symbols[after]
+        pair = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        there = (self.keys[pair] == key) & (word[after] == word[at]) & (after > at)
+        return np.where(there, self.ranks[pair], NO_RANK), pair
+
     def _one_by_one(self, word: str) -> list[int]:
         """The symbols of a word, merged in strict order: lowest rank, then leftmost."""
         symbols: list = self.of_char[np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32)].tolist()
