@@ -99,3 +99,18 @@ def test_a_stream_gives_what_a_batch_gives(spark, tmp_path):
     chunked.written(stream, str(tmp_path / "out"), str(tmp_path / "state")).start().awaitTermination()
     key = lambda df: sorted((r.blob_id, r.offset, r.sig_type) for r in df.collect())
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(signatures(blobs))
+
+
+def test_status_and_policies(spark, tmp_path):
+    from tidewrack.sources import sinks
+
+    whole = archive(spark, [(1, 0, "a", WORDS), (1, 1, "b", b"you")], True)
+    status = lambda content: R.status(R.recover_members(spark.createDataFrame([(1, content)], "blob_id long, content binary")))
+    assert (status(whole), status(whole[:1500]), status(b"nothing here")) == (0, 1, 1)
+    names = spark.createDataFrame([("a", "x")], "name string, fallback string")
+    with pytest.raises(FileExistsError):
+        sinks.settled_names(names, names)
+    with pytest.raises(ValueError):
+        sinks.settled_names(names, names, "ask")
+    assert sinks.settled_names(names, names.where("false")).first().written_as == "a"
+    sinks.discarded(names)

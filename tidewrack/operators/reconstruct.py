@@ -198,6 +198,32 @@ def _first(c: str) -> Column:
     return F.when(F.length(c) > 0, F.conv(F.hex(F.expr(f"substring({c}, 1, 1)")), 16, 10).cast("int"))
 
 
+def in_use(allowed: DataFrame, found: DataFrame) -> DataFrame:
+    """allowed (id, coindex, ...) without the unknowns that no position has any more."""
+    return allowed.join(found.select("id", "coindex").distinct(), ["id", "coindex"], "left_semi")
+
+
+# ---- edits of the replacements
+
+
+def edited(replacements: DataFrame, edits: DataFrame) -> DataFrame:
+    """replacements (id, coindex, byte, confidence) with edits (the same) in their place: a null byte takes one out, others are set or added."""
+    names = ["id", "coindex", "byte", "confidence"]
+    both = replacements.select(*names, F.lit(0).alias("_turn")).unionByName(edits.select(*names, F.lit(1).alias("_turn")))
+    last = both.groupBy("id", "coindex").agg(F.max_by(F.struct("byte", "confidence"), "_turn").alias("_r"))
+    return last.where("_r.byte IS NOT NULL").select("id", "coindex", "_r.byte", "_r.confidence")
+
+
+def cleared_window(replacements: DataFrame, segment: int) -> DataFrame:
+    """replacements without those of one segment's lost window."""
+    return replacements.where(~F.col("coindex").between(segment * C.WINDOW + 1, (segment + 1) * C.WINDOW))
+
+
+def moved_behind(replacements: DataFrame, segment: int) -> DataFrame:
+    """replacements once another gap is found before a segment: those of its window and later ones are a window further on."""
+    return replacements.withColumn("coindex", F.when(F.col("coindex") > segment * C.WINDOW, F.col("coindex") + C.WINDOW).otherwise(F.col("coindex")))
+
+
 # ---- selection
 
 

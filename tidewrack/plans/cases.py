@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import corruption, deflate, ngrams, reconstruct, signatures, spans
@@ -211,6 +211,50 @@ def stored_cells(spark, d) -> DataFrame:
 STORED_CELLS_SQL = "SELECT doc_id AS id, sha256(encode(text)) AS sha256 FROM documents"
 
 
+def injected_messages(spark, d) -> DataFrame:
+    """A banner before each text, and a mark before its third byte."""
+    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.encode(F.concat(F.lit("..."), "text"), "UTF-8").alias("body"))
+    at = F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("[begin]").alias("message")), F.struct(F.lit(3).alias("pos"), F.lit("[gap]").alias("message"))))
+    messages = texts.select("id", at.alias("x")).select("id", "x.*")
+    return sinks.with_messages(texts, messages).select("id", F.decode("body", "UTF-8").alias("body"))
+
+
+INJECTED_MESSAGES_SQL = "SELECT doc_id AS id, '[begin]...[gap]' || text AS body FROM documents"
+
+
+def last_window(spark, d) -> DataFrame:
+    """The last 512 bytes of each text."""
+    return sinks.last_bytes(_literal(spark, d)).select("id", F.hex("body").alias("body"))
+
+
+LAST_WINDOW_SQL = "SELECT doc_id AS id, right(hex(encode(text)), 1024) AS body FROM documents"
+
+
+def output_policy(spark, d) -> DataFrame:
+    """Names of members where those of every third document are there already."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    name = F.format_string("doc%d.txt", "doc_id")
+    wanted = docs.select("doc_id", name.alias("name"), F.format_string("file-%08d.dat", "doc_id").alias("fallback"))
+    there = docs.where("doc_id % 3 = 0").select(name.alias("name"))
+    kept, forced = (sinks.settled_names(wanted, there, p) for p in ("fallback", "force"))
+    return kept.join(forced.select("doc_id", F.col("written_as").alias("forced")), "doc_id").select("doc_id", "written_as", "forced")
+
+
+OUTPUT_POLICY_SQL = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN printf('file-%08d.dat', doc_id) ELSE 'doc' || doc_id || '.txt' END AS written_as, 'doc' || doc_id || '.txt' AS forced FROM documents"
+
+
+def stored_packets(spark, d) -> DataFrame:
+    """Block descriptors written and read again: where each stream begins and ends, its blocks one behind the other."""
+    streams = deflate.deflated(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("body")))
+    found = staged(deflate.packets(streams), "packets")
+    w = Window.partitionBy("id").orderBy("packet_no")
+    joined = found.withColumn("_gap", F.col("start_bit") - F.coalesce(F.lag("end_bit").over(w), F.lit(0))).withColumn("_hole", F.col("offset") - F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return joined.groupBy("id").agg(F.sum("size").alias("bytes"), F.sum("_gap").alias("gap_bits"), F.sum("_hole").alias("gap_bytes"), F.count_if("final").alias("final_blocks"))
+
+
+STORED_PACKETS_SQL = "SELECT doc_id AS id, octet_length(encode(text))::BIGINT AS bytes, 0::BIGINT AS gap_bits, 0::BIGINT AS gap_bytes, 1::BIGINT AS final_blocks FROM documents"
+
+
 def output_directories(spark, d) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
     path = F.format_string("in/%s/file%d.tar.zip", "source", "doc_id")
@@ -335,6 +379,51 @@ SELECT id, coindex, byte, round(score, 6) AS top, round(second, 6) AS second, 1:
 )
 
 
+_BEST = SIDE_SCORES_SQL[: SIDE_SCORES_SQL.rindex("SELECT id, coindex")].rstrip()
+
+
+def replacement_ranking(spark, d) -> DataFrame:
+    """How sure the best byte of every unknown is, and which a round takes: the surest of each span, and all that are sure anyway."""
+    found = staged(reconstruct.occurrences(_holes(spark, d), 2), "occurrences")
+    grams = staged(_model(spark, d), "grams")
+    both = reconstruct.side_scores(found, grams, "left", longest=2).unionByName(reconstruct.side_scores(found, grams, "right", longest=2))
+    totals = staged(reconstruct.summed(found, both, "none"), "totals")
+    rank = staged(reconstruct.ranked(reconstruct.top_two(totals)), "ranked")
+    least = reconstruct.unsupported(totals).groupBy("id", "coindex").agg(F.count("*").alias("pruned"))
+    top, sure = (reconstruct.chosen(rank, ratio=r).select("id", "coindex", F.lit(True).alias(n)) for r, n in ((None, "surest"), (reconstruct.AGGRESSIVE_RATIO, "sure")))
+    out = rank.select("id", "coindex", "byte", "enough", F.round("ratio", 6).alias("ratio"), F.round("ranking", 6).alias("ranking"), "confidence")
+    for part in (top, sure, least):
+        out = out.join(part, ["id", "coindex"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("surest", "sure")}).withColumn("pruned", F.coalesce("pruned", F.lit(0)))
+
+
+REPLACEMENT_RANKING_SQL = (
+    _BEST
+    + """, b AS (SELECT id, coindex, byte, score AS top, second, least(score / greatest(second, 1e-12), 10000.0) AS ratio FROM k WHERE rank = 1),
+r AS (SELECT *, 10 * ln(ratio) + 0.25 * ln(1 + top - second) AS ranking, least(floor(8 * (least(ratio, 4.0) - 1.2) + top), 62)::INT AS confidence FROM b),
+u AS (SELECT t.id, t.coindex, count(*) AS pruned FROM t JOIN b USING (id, coindex) WHERE t.score < 0.2 * b.top GROUP BY ALL)
+SELECT id, coindex, byte, true AS enough, round(ratio, 6) AS ratio, round(ranking, 6) AS ranking, confidence,
+  ranking >= 0.96 * max(ranking) OVER (PARTITION BY id) AND confidence >= 1 AS surest, ratio >= 25 AND confidence >= 1 AS sure, coalesce(pruned, 0) AS pruned
+FROM r LEFT JOIN u USING (id, coindex)"""
+)
+
+
+def replacement_edits(spark, d) -> DataFrame:
+    """Replacements of two windows with some set anew, some taken out, a gap put in before the second window, the first one cleared."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"))
+    each = docs.select("id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(32769), F.lit(32770), F.lit(32771))).alias("coindex"))
+    made = each.select("id", "coindex", F.pmod(F.col("id"), F.lit(200)).cast("int").alias("byte"), F.lit(5).alias("confidence"))
+    taken_out, set_anew = F.lit(None).cast("int"), F.lit(65)
+    edits = docs.select("id", F.lit(32769).alias("coindex"), taken_out.alias("byte"), F.lit(1).alias("confidence"))
+    edits = edits.unionByName(docs.select("id", F.lit(32770).alias("coindex"), set_anew.alias("byte"), F.lit(62).alias("confidence")))
+    edits = edits.unionByName(docs.select("id", F.lit(32790).alias("coindex"), F.lit(66).alias("byte"), F.lit(61).alias("confidence")))
+    return reconstruct.cleared_window(reconstruct.moved_behind(reconstruct.edited(made, edits), 1), 0)
+
+
+REPLACEMENT_EDITS_SQL = """SELECT doc_id AS id, 65538 AS coindex, 65 AS byte, 62 AS confidence FROM documents
+UNION ALL SELECT doc_id, 65539, (doc_id % 200)::INT, 5 FROM documents UNION ALL SELECT doc_id, 65558, 66, 61 FROM documents"""
+
+
 def center_scores(spark, d) -> DataFrame:
     """The sum, and the number, of the scores that bytes get from grams of three with the unknown byte in the middle."""
     found = reconstruct.occurrences(_holes(spark, d), 1)
@@ -396,6 +485,12 @@ QUERIES = {
     "encoding_constraints": (encoding_constraints, ENCODING_CONSTRAINTS_SQL),
     "wildcard_contexts": (wildcard_contexts, WILDCARD_CONTEXTS_SQL),
     "side_scores": (side_scores, SIDE_SCORES_SQL),
+    "replacement_ranking": (replacement_ranking, REPLACEMENT_RANKING_SQL),
+    "replacement_edits": (replacement_edits, REPLACEMENT_EDITS_SQL),
+    "injected_messages": (injected_messages, INJECTED_MESSAGES_SQL),
+    "last_window": (last_window, LAST_WINDOW_SQL),
+    "output_policy": (output_policy, OUTPUT_POLICY_SQL),
+    "stored_packets": (stored_packets, STORED_PACKETS_SQL),
     "center_scores": (center_scores, CENTER_SCORES_SQL),
     "corrupt_stretches": (corrupt_stretches, CORRUPT_STRETCHES_SQL),
 }

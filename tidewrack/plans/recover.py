@@ -115,6 +115,12 @@ def recover(blobs: DataFrame, options: RecoverOptions = RecoverOptions(), model:
     return made.join(named, F.col("id") == F.col("_id")).select(F.col("id").alias("member_id"), "name", *(c for c in made.columns if c != "id"))
 
 
+def status(members: DataFrame) -> int:
+    """What a command would exit with: 0 where members were found and every one is whole, else 1. Wrong options raise ValueError (2)."""
+    n, whole = members.agg(F.count("*"), F.count_if("complete")).first()
+    return 0 if n and n == whole else 1
+
+
 def train(bodies: DataFrame, max_n: int = ngrams.MAX_N, min_freq: int = 1, utf8: bool = True) -> dict[str, DataFrame]:
     """The tables of a model of (model_id, body): ngrams, reverse, counts, words, lengths."""
     grams = ngrams.ngram_counts(bodies, max_n, min_freq)

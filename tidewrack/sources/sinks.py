@@ -119,9 +119,40 @@ def read_cells(spark, path: str) -> DataFrame:
     return found
 
 
+def discarded(df: DataFrame) -> None:
+    """Runs everything that df needs and keeps nothing: to time or to check a recovery."""
+    df.write.format("noop").mode("overwrite").save()
+
+
+def with_messages(texts: DataFrame, messages: DataFrame) -> DataFrame:
+    """(id, body) of texts with messages (id, pos, message) put in front of the bytes at pos, those of one place in their own order. A text has few messages."""
+    lists = messages.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("pos", "message")), asc=False).alias("_m"))
+    joined = texts.join(lists, F.col("id") == F.col("_id"), "left")
+    put = F.expr("aggregate(coalesce(_m, array()), hex(body), (b, x) -> overlay(b PLACING hex(encode(x.message, 'UTF-8')) FROM cast(2 * x.pos + 1 AS int) FOR 0))")
+    return joined.select("id", F.unhex(put).alias("body"))
+
+
+def last_bytes(cells: DataFrame, n: int = 512) -> DataFrame:
+    """(id, body): the last n cells of each span as text, what a detector's window begins with when decoding goes on."""
+    tail = cells.select("id", F.expr(f"substring(cells, greatest(length(cells) - {4 * n}, 0) + 1, {4 * n})").alias("cells"))
+    return plain_text(tail)
+
+
 # ---- names of what is written
 
 
+def settled_names(wanted: DataFrame, existing: DataFrame, policy: str = "error") -> DataFrame:
+    """wanted (name, fallback, ...) with written_as, by what exists (name): policy error raises, force writes over it, fallback takes the other name."""
+    if policy not in ("error", "force", "fallback"):
+        raise ValueError(f"no policy {policy}")
+    there = existing.select(F.col("name").alias("_name")).distinct()
+    joined = wanted.join(there, F.col("name") == F.col("_name"), "left")
+    if policy == "error" and not joined.where("_name IS NOT NULL").isEmpty():
+        raise FileExistsError("members would overwrite what is there")
+    other = F.col("fallback") if policy == "fallback" else F.col("name")
+    return joined.withColumn("written_as", F.when(F.col("_name").isNull(), F.col("name")).otherwise(other)).drop("_name")
+
+
 def output_name(name_hint: Column, base: Column, offset: Column, extension: str = "dat", junk_paths: bool = False, as_html: bool = False) -> Column:
     """A member's file: its own name (without folders if junk_paths), else base, offset and extension."""
     own = F.regexp_extract(name_hint, r"([^/\\]*)$", 1) if junk_paths else F.regexp_replace(name_hint, r"^/+|(?:^|/)\.\.(?=/|$)", "")
