@@ -207,7 +207,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> QualityModel:
         model = fit(rows["text"].tolist(), rows["quality"].to_numpy(dtype=np.int64) if len(rows) else np.zeros(0, np.int64))
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    return pickle.loads(texts.repartition(1).sortWithinPartitions("turn", "doc_id", "text").mapInPandas(run, "model binary").first()["model"])
+    made = texts.repartition(1).sortWithinPartitions("turn", "doc_id", "text").mapInPandas(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else fit([], np.zeros(0, np.int64))  # without rows there may be no task
 
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, to: str = "score") -> DataFrame:
