@@ -392,6 +392,32 @@ def test_scores_are_a_brute_force_trees(spark, sf_dir, monkeypatch, share):
         assert any(x and not set(s) <= known for s, x in kept.items())
 
 
+def test_next_words_below_a_millionth_are_learned(spark):
+    """A word that occurs 4 times among 4.3 million tokens, always after the same word, is scored by that word's counts."""
+    i = iter(k for k in range(10**6) if zlib.crc32(str(k).encode()) % 10)
+    texts = [(next(i), "filler " * 100_000) for _ in range(43)] + [(next(i), "key rare") for _ in range(4)] + [(next(i), "key other") for _ in range(36)]
+    held = next(k for k in range(10**6) if zlib.crc32(str(k).encode()) % 10 == 0)
+    docs = spark.createDataFrame([*texts, (held, "key rare")], "doc_id long, text string")
+    c = Counter({"filler": 4_300_000, "key": 40, "rare": 4, "other": 36, "": len(texts)})
+    assert c["rare"] < 1e-6 * c.total()
+    base = {w: (n + 0.1) / (c.total() + 0.1 * (len(c) + 1)) for w, n in c.items()}
+    found = suffix_lm.scored(docs).where(F.col("doc_id") == held).first()
+    assert math.isclose(found.base_score, sum(math.log10(base[w]) for w in ("key", "rare", "")), rel_tol=1e-9)
+    after = 4 / (40 + 10) + 10 / (40 + 10) * base["rare"]
+    assert math.isclose(found.score, found.base_score + math.log10(after / base["rare"]), rel_tol=1e-9)
+
+
+def test_scores_dont_depend_on_the_dictionary(spark, sf_dir, monkeypatch):
+    """Words are hashed or numbered, in few buckets or many: the scores are the same."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    right = {r.doc_id: r.score for r in suffix_lm.scored(docs).collect()}
+    for listed, places in ((30, 2_000), (0, 300_000)):
+        monkeypatch.setattr(suffix_lm, "DICTIONARY", listed)
+        monkeypatch.setattr(suffix_lm, "BUCKET", places)
+        found = {r.doc_id: r.score for r in suffix_lm.scored(docs).collect()}
+        assert all(math.isclose(found[k], x, rel_tol=1e-9) for k, x in right.items())
+
+
 def test_context_map_holds_its_words(spark):
     words = [b"w%d" % i for i in range(500)]
     mapped = np.frombuffer(suffix_lm.context_map(spark.createDataFrame([(bytearray(w),) for w in words], "word binary")), np.uint8)

@@ -15,13 +15,13 @@ counts and their suffixes are there, so a bucket learns and scores by itself.
 Words too frequent for a bucket are dealt out by the word before them, and
 their own next-word counts, summed up beforehand, go to each of their buckets.
 
-Words with a share of the corpus are numbered by a dictionary, whose size that
-share bounds: only it is broadcast. Words below it that are frequent enough for a
-context are known by a hash of 40 bits; a bitmap of fixed size, broadcast too,
-says which words may be: it errs towards more only, and the buckets count
-exactly. Only as next words they aren't told apart, but scored through the
-suffixes and the base. Counts of all words, rare ones too, stay in a table that
-grows with the corpus and is joined.
+The most frequent words are numbered by a dictionary of bounded size: only it is
+broadcast. The others are known by a hash of 56 bits, as contexts and as next
+words alike; two bitmaps of fixed size, broadcast too, say which words may be
+frequent enough for either: they err towards more only, and the buckets count
+exactly. Counts of all words stay in a table that grows with the corpus and is
+joined; where a word outside the dictionary follows a bucket's words twice or
+more, its count goes there too, for its base probability.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pickle
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import released, staged, text_slices
@@ -39,16 +39,20 @@ from .common import released, staged, text_slices
 #: the token that ends every text; no word holds a space
 END = b" "
 DEPTH = 3
-#: least share of all tokens of a word in the dictionary (1,000,000 at most)
-WORD_SHARE = 1e-6
+#: most words in the dictionary; the others are hashed, which changes no score
+DICTIONARY = 500_000
+#: least share of all tokens of a word that is told apart as a next word; 0: all are
+WORD_SHARE = 0.0
 #: least count of a context, and of a next word that is kept with it
 CONTEXT_COUNT = 20
 NEXT_COUNT = 2
 #: about how many places a bucket holds
 BUCKET = 300_000
+#: buckets that are sent together, and most places in a row of them
+TOGETHER, SENT = 8, 8192
 #: numbers of words outside the dictionary begin here; a hash is added
 HASHED = 1 << 32
-#: bits of the map of words outside the dictionary that may be in a context, 4 MB
+#: bits of each map of words outside the dictionary, 4 MB
 MAPPED = 1 << 25
 #: least divergence, in bits, of a kept context from its suffix
 DIVERGENCE = 0.02
@@ -96,12 +100,12 @@ class _Ids(dict):
 def _hash(word: bytes) -> int:
     import xxhash
 
-    return xxhash.xxh64_intdigest(word, 42) >> 24
+    return xxhash.xxh64_intdigest(word, 42) >> 8
 
 
 def context_map(words: DataFrame) -> bytes:
     """A bitmap with the bit of every word of words (word)."""
-    place = F.pmod(F.shiftrightunsigned(F.xxhash64("word"), 24), F.lit(MAPPED)) + 1
+    place = F.pmod(F.shiftrightunsigned(F.xxhash64("word"), 8), F.lit(MAPPED)) + 1
     parts = words.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     bits = bytearray(MAPPED // 8)
     for r in parts.collect():
@@ -109,49 +113,59 @@ def context_map(words: DataFrame) -> bytes:
     return bytes(bits)
 
 
-def encoded(docs: DataFrame, dictionary: list[bytes], mapped: bytes = b"") -> DataFrame:
-    """docs (doc_id, text) as (row, doc_id, held_out, ids, rare, hashes).
+def encoded(docs: DataFrame, dictionary: list[bytes], mapped: bytes = b"", followed: bytes = b"", logs: np.ndarray | None = None) -> DataFrame:
+    """docs (doc_id, text) as (row, doc_id, held_out, ids, rare, hashes, n_tokens, n_rare, base).
 
     ids has the number in the dictionary of every word. Others, which rare holds,
-    are -2 if mapped has them, their hashes in hashes, else -1.
+    are -2 if mapped has them, else -3 if followed has them, with their hashes in
+    hashes, else -1. base is the sum of logs over the words in the dictionary.
     """
     import pyarrow as pa
 
-    sent = docs.sparkSession.sparkContext.broadcast((dictionary, mapped))
+    sent = docs.sparkSession.sparkContext.broadcast((dictionary, mapped, followed, np.zeros(len(dictionary)) if logs is None else logs))
     held: dict = {}
+    names = ["row", "doc_id", "held_out", "ids", "rare", "hashes", "n_tokens", "n_rare", "base"]
+
+    def has(bits: bytes, place: np.ndarray) -> np.ndarray:
+        return (np.frombuffer(bits, np.uint8)[place >> 3] >> (place & 7) & 1 == 1) if bits else np.zeros(len(place), dtype=bool)
 
     def run(batches):
         if "ids" not in held:
             held["ids"] = _Ids({w: i for i, w in enumerate(sent.value[0])})
-        get, mapped = held["ids"].__getitem__, sent.value[1]
+        get, (_, mapped, followed, logs) = held["ids"].__getitem__, sent.value
         for b in text_slices(batches, "text"):
-            ids, rare, hashes = [], [], []
+            ids, rare, hashes, base = [], [], [], []
             for t in b.column("text").to_pylist():
                 words = words_of(t)
                 found = np.array([*map(get, words), 0], dtype=np.int32)
                 outside = np.flatnonzero(found < 0)
+                base.append(logs[found].sum() if not len(outside) else logs[found[found >= 0]].sum())
                 rare.append([words[i] for i in outside.tolist()])
-                number = np.array([_hash(w) for w in rare[-1]] if mapped else [], dtype=np.int64)
-                if mapped:
+                number = np.array([_hash(w) for w in rare[-1]] if mapped or followed else [], dtype=np.int64)
+                if len(number):
                     place = number % MAPPED
-                    there = np.frombuffer(mapped, np.uint8)[place >> 3] >> (place & 7) & 1 == 1
-                    found[outside[there]] = -2
-                    number = number[there]
+                    kind = np.where(has(mapped, place), -2, np.where(has(followed, place), -3, -1))
+                    found[outside] = kind
+                    number = number[kind < -1]
                 ids.append(found)
                 hashes.append(number)
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("doc_id"), b.column("held_out"), flat, pa.array(rare, pa.list_(pa.binary())), pa.array(hashes, pa.list_(pa.int64()))], ["row", "doc_id", "held_out", "ids", "rare", "hashes"]
+                [b.column("row"), b.column("doc_id"), b.column("held_out"), flat, pa.array(rare, pa.list_(pa.binary())), pa.array(hashes, pa.list_(pa.int64())), pa.array(np.diff(offsets), pa.int64()), pa.array([len(x) for x in rare], pa.int64()), pa.array(base, pa.float64())], names
             )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, ids array<int>, rare array<binary>, hashes array<long>")
+    return rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, ids array<int>, rare array<binary>, hashes array<long>, n_tokens long, n_rare long, base double")
 
 
 def _slices(batches, limit: int = 1_000_000):
-    """(batch, flat ids, offsets) of at most about limit ids; a longer row comes alone. Where hashes are there, ids hold them."""
+    """(batch, flat ids, offsets) of at most about limit ids; a longer row comes alone.
+
+    Where hashes are there, ids hold them: HASHED and more for words that may be in
+    a context, below -1 for those that may only follow one.
+    """
     for batch in batches:
         ends = batch.column("ids").offsets.to_numpy().astype(np.int64)
         ends = ends - ends[0]
@@ -163,7 +177,10 @@ def _slices(batches, limit: int = 1_000_000):
             offsets = ids.offsets.to_numpy().astype(np.int64)
             flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             if "hashes" in part.schema.names:
-                flat[flat == -2] = HASHED + part.column("hashes").flatten().to_numpy(zero_copy_only=False)
+                there, number = flat < -1, part.column("hashes").flatten().to_numpy(zero_copy_only=False)
+                flat[there] = np.where(flat[there] == -2, HASHED + number, -2 - number)
+            else:
+                flat = np.maximum(flat, -1)
             yield part, flat, offsets - offsets[0]
             at = stop
     released()
@@ -345,10 +362,10 @@ def gains(a: np.ndarray, b: np.ndarray, c: np.ndarray, w: np.ndarray, seen: np.n
     """log10 of P(w | the longest kept suffix of a, b, c) over w's base, for words w after a, b, c.
 
     All places of a last word c must be here. seen is how often a place is
-    learned from, seen_first the same for contexts of one word. Words are numbers
-    in the dictionary with logarithms base, or HASHED and more; -1 and 0 end a context.
+    learned from, seen_first the same for contexts of one word. w are numbers in
+    base, which has logarithms, -1 for words that are never kept; a, b and c are
+    any numbers, and those of 0 and less end a context.
     """
-    w = np.where(w >= HASHED, -1, w)
     start = np.where(w >= 0, 10 ** base[np.maximum(w, 0)], 1.0)
     p, at, number = start.copy(), np.arange(len(w)), np.zeros(len(w), dtype=np.int64)
     width = len(base) + 1
@@ -358,7 +375,9 @@ def gains(a: np.ndarray, b: np.ndarray, c: np.ndarray, w: np.ndarray, seen: np.n
         if not len(at):
             break
         n = (seen if k else seen_first)[at]
-        _, last = np.unique(before[at], return_inverse=True)
+        last = before[at].copy()
+        far = last >= HASHED  # few: numbers of the dictionary are dense already
+        last[far] = len(base) + np.unique(last[far], return_inverse=True)[1]
         _, number = np.unique(number * (last.max() + 1) + last, return_inverse=True)
         all_n = np.bincount(number, weights=n)
         there = all_n[number] >= CONTEXT_COUNT
@@ -392,84 +411,156 @@ def _dealt(counts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return first, many
 
 
+class _Deal:
+    """To which bucket a place goes."""
+
+    def __init__(self, counts: np.ndarray, hashed: float, limit: int):
+        self.first, self.many = _dealt(counts, limit)
+        self.usable = counts >= CONTEXT_COUNT
+        self.rest = int((self.first + self.many).max(initial=0))  # the first bucket of words outside the dictionary
+        self.over = max(1, math.ceil(hashed / limit))
+
+    def context(self, c: np.ndarray) -> np.ndarray:
+        """Whether words c may end a context."""
+        return (c >= HASHED) | (c > 0) & self.usable[np.where(c < HASHED, np.maximum(c, 0), 0)]
+
+    def split(self, c: np.ndarray) -> np.ndarray:
+        """How many buckets words c have."""
+        return np.where(c < HASHED, self.many[np.where(c < HASHED, c, 0)], 1)
+
+    def buckets(self, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The bucket of places after b, c."""
+        mixed = (b + 1) * 0x9E3779B1 % 2**32 >> 8
+        return np.where(c < HASHED, self.first[np.where(c < HASHED, c, 0)], self.rest + c % self.over) + mixed % self.split(c)
+
+
+def _before(deal: _Deal, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The three words before each place, from the farthest; -1 where a context can't reach. The end, 0, is between texts."""
+    c, b, a = (np.r_[np.full(k, -1), ids][: len(ids)] for k in (1, 2, 3))
+    b = np.where((c > 0) & deal.context(b), b, -1)
+    return np.where((b > 0) & deal.context(a), a, -1), b, c
+
+
+def rare_places(rows: DataFrame, deal: _Deal) -> DataFrame:
+    """(row, word, together) of every word outside the dictionary.
+
+    together says where it is learned from: in the buckets sent together under this
+    number; if -2 or less, in all those of the word -2 - together before it; if -1, nowhere.
+    """
+    import pyarrow as pa
+
+    sent = rows.sparkSession.sparkContext.broadcast(deal)
+
+    def run(batches):
+        deal = sent.value
+        for part, ids, offsets in _slices(batches):
+            at = np.flatnonzero((ids < 0) | (ids >= HASHED))
+            which = np.searchsorted(offsets, at, "right") - 1
+            _, b, c = (x[at] for x in _before(deal, ids))
+            learned = (ids[at] != -1) & deal.context(c) & ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)[which]
+            c = np.maximum(c, 0)
+            together = np.where(learned, np.where(deal.split(c) > 1, -2 - c, deal.buckets(b, c) // TOGETHER), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(part.column("row").to_numpy()[which]), part.column("rare").flatten(), pa.array(together, pa.int64())], ["row", "word", "together"])
+
+    return rows.select("row", "held_out", "ids", "rare", "hashes").mapInArrow(run, "row long, word binary, together long")
+
+
 def context_gains(rows: DataFrame, counts: np.ndarray, base: np.ndarray, hashed: float = 0, depth: int = DEPTH, limit: int = BUCKET) -> DataFrame:
     """(row, gain) of rows (row, held_out, ids, hashes): the sum of gains over a row's words, learned from the rows that aren't held out.
 
     hashed is about how many places have a word in hashes before them.
     """
-    import pyarrow as pa
+    return gain_parts(rows, _Deal(counts, hashed, limit), base, depth=depth).groupBy("row").agg(F.sum("gain").alias("gain"))
+
 
-    first, many = _dealt(counts, limit)
-    rest = int((first + many).max(initial=0))  # the first bucket of words outside the dictionary
-    spread_over = max(1, math.ceil(hashed / limit))
-    sent = rows.sparkSession.sparkContext.broadcast((first, many, counts >= CONTEXT_COUNT, base))
+def gain_parts(rows: DataFrame, deal: _Deal, base: np.ndarray, divisor: float = 1.0, bases: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
+    """The parts that context_gains sums. bases (together, hash, n) has the words outside the dictionary that may be kept as next words there, whose base probability is (n + ALPHA) / divisor."""
+    import pyarrow as pa
 
-    def buckets_of(c: np.ndarray):
-        """(first bucket, buckets) of words c."""
-        own = np.where(c < HASHED, c, 0)
-        return np.where(c < HASHED, sent.value[0][own], rest + c % spread_over), np.where(c < HASHED, sent.value[1][own], 1)
+    sent = rows.sparkSession.sparkContext.broadcast((deal, base))
 
     def places(batches):
-        for b, ids, offsets in _slices(batches):
-            c, bb, a = (np.r_[np.full(k, -1), ids][: len(ids)] for k in (1, 2, 3))  # the end, 0, is between texts
-            tag = b.column("row").to_numpy() * 2 + ~b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            use = np.flatnonzero((c >= HASHED) | (c > 0) & sent.value[2][np.where(c < HASHED, np.maximum(c, 0), 0)])
-            yield np.repeat(tag, np.diff(offsets))[use], a[use], bb[use], c[use], ids[use]
-
-    def packed(buckets, tags, grams):
-        """At most 1024 places a row, by their words from the last one back; their bytes by significance, which compress well so."""
+        deal = sent.value[0]
+        for part, ids, offsets in _slices(batches):
+            a, b, c = _before(deal, ids)
+            tag = part.column("row").to_numpy() * 2 + ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            use = np.flatnonzero(deal.context(c))
+            yield np.repeat(tag, np.diff(offsets))[use], a[use], b[use], c[use], ids[use]
+
+    def packed(together, tags, grams):
+        """At most SENT places a row, about in order of their words from the last one back; their bytes by significance, which compress well so."""
         import zstandard
 
-        order = np.lexsort((grams[:, 0], grams[:, 1], grams[:, 2], buckets))
-        buckets, tags, grams = buckets[order], tags[order], grams[order]
-        edges = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(buckets) else np.zeros(0, np.int64)
-        begins = np.concatenate([np.arange(lo, hi, 1024) for lo, hi in zip(edges, np.r_[edges[1:], len(buckets)])]) if len(edges) else edges
-        ends = np.r_[begins[1:], len(buckets)]
+        order = np.argsort((together << 38) + ((grams[:, 2] & 0xFFFFF) << 18) + (grams[:, 1] & 0x3FFFF), kind="stable")
+        together, tags, grams = together[order], tags[order], grams[order]
+        edges = np.flatnonzero(np.r_[True, together[1:] != together[:-1]]) if len(together) else np.zeros(0, np.int64)
+        begins = np.concatenate([np.arange(lo, hi, SENT) for lo, hi in zip(edges, np.r_[edges[1:], len(together)])]) if len(edges) else edges
+        ends = np.r_[begins[1:], len(together)]
         press = zstandard.ZstdCompressor(level=3).compress
         data = []
         for i, j in zip(begins.tolist(), ends.tolist()):
             least = tags[i:j].min()
             columns = np.concatenate([(tags[i:j] - least)[:, None], grams[i:j]], axis=1).astype("<i8")
-            columns[1:, 1:4] -= columns[:-1, 1:4].copy()
+            columns[1:, 2:4] -= columns[:-1, 2:4].copy()
             data.append(press(least.astype("<i8").tobytes() + columns.view(np.uint8).T.tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(buckets[begins], pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
+        return pa.RecordBatch.from_arrays([pa.array(together[begins], pa.int64()), pa.array(data, pa.binary())], ["together", "data"])
 
     def unpacked(data: bytes):
         import zstandard
 
         raw = zstandard.ZstdDecompressor().decompress(data)
         columns = np.frombuffer(raw, dtype=np.uint8, offset=8).reshape(40, -1).T.copy().view("<i8")
-        return columns[:, 0] + np.frombuffer(raw, dtype="<i8", count=1), np.concatenate([np.cumsum(columns[:, 1:4], axis=0), columns[:, 4:]], axis=1)
+        columns[:, 2:4] = np.cumsum(columns[:, 2:4], axis=0)
+        return columns[:, 0] + np.frombuffer(raw, dtype="<i8", count=1), columns[:, 1:]
 
-    def deal(batches):
+    def send(batches):
         for tags, a, b, c, w in places(batches):
-            first, many = buckets_of(c)
-            mixed = (b + 1) * 0x9E3779B1 % 2**32 >> 8
-            yield packed(first + mixed % many, tags, np.stack([a, b, c, w], 1))
+            yield packed(sent.value[0].buckets(b, c) // TOGETHER, tags, np.stack([a, b, c, w], 1))
 
     def pairs(batches):
         for tags, _, _, c, w in places(batches):
-            there = (tags & 1 == 1) & (buckets_of(c)[1] > 1)
-            (c, w), n = np.unique(np.stack([c[there], w[there]]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(w), pa.array(n, pa.int64())], ["c", "w", "n"])
+            there = (tags & 1 == 1) & (sent.value[0].split(c) > 1)
+            order = np.lexsort((w[there], c[there]))
+            c, w = c[there][order], w[there][order]
+            starts = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])]) if len(c) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c[starts]), pa.array(w[starts]), pa.array(np.diff(np.r_[starts, len(c)]), pa.int64())], ["c", "w", "n"])
 
     def spread(batches):
-        for b in batches:
-            c, w, n = (b.column(k).to_numpy() for k in ("c", "w", "n"))
-            first, many = sent.value[:2]
-            again = np.repeat(np.arange(len(c)), many[c])
-            turn = np.arange(len(again)) - np.repeat(np.cumsum(many[c]) - many[c], many[c])
-            c = c[again]
-            none = np.full(len(c), -1)
-            yield packed(first[c] + turn, -1 - n[again], np.stack([none, none, c, w[again]], 1))
-
-    kind = "bucket long, data binary"
+        deal = sent.value[0]
+        for part in batches:
+            c, w, n = (part.column(k).to_numpy() for k in ("c", "w", "n"))
+            few = n < NEXT_COUNT  # only their sum counts
+            once, at = np.unique(c[few], return_inverse=True)
+            n = np.r_[n[~few], np.bincount(at, weights=n[few], minlength=len(once)).astype(np.int64)]
+            c, w = np.r_[c[~few], once], np.r_[w[~few], np.full(len(once), -1)]
+            many = deal.many[c]
+            again = np.repeat(np.arange(len(c)), many)
+            turn = np.arange(len(again)) - np.repeat(np.cumsum(many) - many, many)
+            c, none = c[again], np.full(len(again), -1)
+            yield packed((deal.first[c] + turn) // TOGETHER, -1 - n[again], np.stack([none, -2 - turn, c, w[again]], 1))
+
+    def spread_bases(batches):
+        deal = sent.value[0]
+        for part in batches:
+            together, number, n = (part.column(k).to_numpy() for k in ("together", "hash", "n"))
+            c = np.where(together < 0, -2 - together, 0)
+            low = np.where(together < 0, deal.first[c] // TOGETHER, together)
+            many = np.where(together < 0, (deal.first[c] + deal.many[c] - 1) // TOGETHER, together) - low + 1
+            again = np.repeat(np.arange(len(n)), many)
+            together = low[again] + np.arange(len(again)) - np.repeat(np.cumsum(many) - many, many)
+            number, n = number[again], n[again]
+            none = np.full(len(n), -1)
+            yield packed(together, -1 - n, np.stack([none, none, none, number], 1))
+
+    kind = "together long, data binary"
     used = rows.select("row", "held_out", "ids", *(["hashes"] if "hashes" in rows.columns else []))
-    dealt = used.mapInArrow(deal, kind)
-    if (many > 1).any():  # a negative tag is a count of a word and its next one
+    dealt = used.mapInArrow(send, kind)
+    if (deal.many > 1).any():  # a negative tag is a count: of a word and its next one for the bucket that b says, or of a word where c is -1
         summed = used.mapInArrow(pairs, "c long, w long, n long").groupBy("c", "w").agg(F.sum("n").alias("n"))
         dealt = dealt.unionByName(summed.mapInArrow(spread, kind))
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    if bases is not None:
+        dealt = dealt.unionByName(bases.select("together", "hash", "n").mapInArrow(spread_bases, kind))
+    dealt = dealt.repartition("together").sortWithinPartitions("together")
 
     def by_row(parts):
         row, gain = np.concatenate([r for r, _ in parts]), np.concatenate([g for _, g in parts])
@@ -477,13 +568,28 @@ def context_gains(rows: DataFrame, counts: np.ndarray, base: np.ndarray, hashed:
         return row, np.bincount(at, weights=gain, minlength=len(row))
 
     def learn(blocks: list):
-        tag = np.concatenate([t for t, _ in blocks])
-        a, b, c, w = np.concatenate([g for _, g in blocks]).T
-        seen = np.where(tag >= 0, tag & 1, 0).astype(np.float64)
-        seen_first = np.where(tag < 0, -1 - tag, np.where(buckets_of(c)[1] > 1, 0, seen))
-        gain = gains(a, b, c, w, seen, seen_first, sent.value[3], depth)
-        there = (tag >= 0) & (gain != 0)
-        return by_row([(tag[there] >> 1, gain[there])])
+        deal, base = sent.value
+        tag, grams = np.concatenate([t for t, _ in blocks]), np.concatenate([g for _, g in blocks])
+        blocks.clear()
+        count = (tag < 0) & (grams[:, 2] == -1)
+        numbers, one = np.unique(grams[count, 3], return_index=True)
+        logs = np.r_[base, np.log10((-1 - tag[count][one] + ALPHA) / divisor)]
+        tag, grams = tag[~count], grams[~count]
+        w = grams[:, 3]
+        outside = np.flatnonzero((w < -1) | (w >= HASHED))
+        at = _find(numbers, np.where(w[outside] < 0, -2 - w[outside], w[outside] - HASHED))
+        w[outside] = np.where(at >= 0, len(base) + at, -1)
+        b, c = grams[:, 1], grams[:, 2]
+        bucket = np.where(tag < 0, deal.first[np.where(tag < 0, c, 0)] - 2 - b, deal.buckets(b, c))
+        order = np.argsort(bucket, kind="stable")
+        edges = np.r_[np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]), len(order)] if len(order) else [0]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            t, (a, b, c, w) = tag[order[lo:hi]], grams[order[lo:hi]].T
+            seen = np.where(t >= 0, t & 1, 0).astype(np.float64)
+            seen_first = np.where(t < 0, -1 - t, np.where(deal.split(c) > 1, 0, seen))
+            gain = gains(a, b, c, w, seen, seen_first, logs, depth)
+            there = (t >= 0) & (gain != 0)
+            yield by_row([(t[there] >> 1, gain[there])])
 
     def run(batches):
         now, blocks, made = None, [], []
@@ -494,21 +600,21 @@ def context_gains(rows: DataFrame, counts: np.ndarray, base: np.ndarray, hashed:
                 yield pa.RecordBatch.from_arrays([pa.array(row[at : at + 100_000], pa.int64()), pa.array(gain[at : at + 100_000], pa.float64())], ["row", "gain"])
 
         for batch in batches:
-            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
-                if bucket != now:
+            for together, data in zip(batch.column("together").to_pylist(), batch.column("data")):
+                if together != now:
                     if blocks:
-                        made.append(learn(blocks))
-                    now, blocks = bucket, []
+                        made.extend(learn(blocks))
+                    now, blocks = together, []
                     if sum(len(r) for r, _ in made) > 1_000_000:
                         yield from rows_of(made)
                         made = []
                 blocks.append(unpacked(data.as_py()))
         if blocks:
-            made.append(learn(blocks))
+            made.extend(learn(blocks))
         if made:
             yield from rows_of(made)
 
-    return dealt.mapInArrow(run, "row long, gain double").groupBy("row").agg(F.sum("gain").alias("gain"))
+    return dealt.mapInArrow(run, "row long, gain double")
 
 
 def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -518,47 +624,50 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     doc_id are held out. With nothing to learn from, N and V are 0 and all words
     unknown. Rows that repeat stay; other columns are left out.
     """
-    import pyarrow as pa
-
-    spark = docs.sparkSession
     counts = staged(word_counts(docs.where(~held_out(F.col("doc_id")))), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = WORD_SHARE * total
-    frequent = counts.where((F.col("n") >= least) & (F.col("word") != F.lit(bytearray(END)))).orderBy(F.desc("n"), "word").toPandas()
+    words = counts.where(F.col("word") != F.lit(bytearray(END)))
+    share = WORD_SHARE * total
+    least, listed = max(CONTEXT_COUNT, share), 0
+    for r in words.where(F.col("n") >= least).groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
+        listed += r.words
+        if listed > DICTIONARY:
+            least = r.n + 1
+            break
+    frequent = words.where(F.col("n") >= least).orderBy(F.desc("n"), "word").toPandas()
     ends = counts.where(F.col("word") == F.lit(bytearray(END))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     dictionary = [END, *map(bytes, frequent["word"])]
     numbers = np.r_[ends, frequent["n"].to_numpy(dtype=np.float64)] if len(frequent) else np.array([float(ends)])
 
-    between = counts.where((F.col("n") >= CONTEXT_COUNT) & (F.col("n") < least))
-    hashed = between.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = staged(encoded(docs, dictionary, context_map(between) if hashed else b""), "encoded", "zstd")
+    outside = words.where(F.col("n") < least)
+    between = outside.where(F.col("n") >= CONTEXT_COUNT)
+    following = max(NEXT_COUNT, share)
+    hashed, follow = outside.agg(*(F.coalesce(F.sum(F.when(F.col("n") >= x, F.col("n"))), F.lit(0)) for x in (CONTEXT_COUNT, following))).first()
     logs = np.log10((numbers + ALPHA) / (total + ALPHA * (distinct + 1)))
-    sent = spark.sparkContext.broadcast(logs)
-    gained = context_gains(rows, numbers, logs, hashed, depth).withColumnRenamed("row", "_gained")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        logs = sent.value
-        for b, ids, offsets in _slices(batches):
-            first = offsets[:-1]
-            base = np.add.reduceat(np.where(ids >= 0, logs[np.maximum(ids, 0)], 0.0), first) if len(first) else np.zeros(0)
-            rare = np.add.reduceat((ids < 0).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("doc_id"), b.column("held_out"), pa.array(np.diff(offsets), pa.int64()), pa.array(rare, pa.int64()), pa.array(base, pa.float64())],
-                ["row", "doc_id", "held_out", "n_tokens", "n_rare", "base"],
-            )
+    followed = context_map(outside.where(F.col("n") >= following)) if follow else b""
+    rows = staged(encoded(docs, dictionary, context_map(between) if hashed else b"", followed, logs), "encoded", "zstd")
+    deal = _Deal(numbers, hashed, BUCKET)
 
-    main = rows.select("row", "doc_id", "held_out", "ids").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_rare long, base double")
     ends_known = 1 if ends else 0  # the end has number 0 even where nothing was learned
-    asked = rows.where(F.size("rare") > 0).select("row", F.explode("rare").alias("word"))
-    there = asked.join(counts.where(F.col("n") < least).withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"), "left")
+    asked = rare_places(rows.where(F.col("n_rare") > 0), deal)
+    there = asked.join(outside.withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"), "left")
+    times = F.count("*").over(Window.partitionBy("word", "together"))
+    kept = (F.col("together") != -1) & (F.col("n") >= following) & (times >= NEXT_COUNT)
+    number = F.shiftrightunsigned(F.xxhash64("word"), 8)
+    rare = staged(there.select("row", "n", F.when(kept, F.col("together")).alias("together"), F.when(kept, number).alias("hash")), "rare", "zstd")
+    bases = rare.where(F.col("hash").isNotNull()).groupBy("together", "hash").agg(F.max("n").alias("n"))
     divisor = total + ALPHA * (distinct + 1)
-    tail = there.groupBy(F.col("row").alias("_row")).agg(
-        F.sum(F.log10((F.coalesce("n", F.lit(0)) + ALPHA) / divisor)).alias("rare_base"),
-        F.sum(F.col("n").isNotNull().cast("long")).alias("rare_known"),
+    tail = rare.select(
+        "row",
+        F.lit(0.0).alias("gain"),
+        F.log10((F.coalesce("n", F.lit(0)) + ALPHA) / divisor).alias("rare_base"),
+        F.col("n").isNotNull().cast("long").alias("rare_known"),
     )
+    gained = gain_parts(rows, deal, logs, divisor, bases, depth).select("row", "gain", F.lit(0.0).alias("rare_base"), F.lit(0).cast("long").alias("rare_known"))
+    sums = tail.unionByName(gained).groupBy(F.col("row").alias("_row")).agg(*(F.sum(k).alias(k) for k in ("gain", "rare_base", "rare_known")))
     rare_base = F.coalesce("rare_base", F.lit(0.0))
-    return main.join(tail, F.col("row") == F.col("_row"), "left").join(gained, F.col("row") == F.col("_gained"), "left").select(
+    main = rows.select("row", "doc_id", "held_out", "n_tokens", "n_rare", "base")
+    return main.join(sums, F.col("row") == F.col("_row"), "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
