@@ -49,7 +49,7 @@ NEXT_COUNT = 2
 #: about how many places a bucket holds
 BUCKET = 300_000
 #: buckets that are sent together, and most places in a row of them
-TOGETHER, SENT = 8, 8192
+TOGETHER, SENT = 4, 8192
 #: numbers of words outside the dictionary begin here; a hash is added
 HASHED = 1 << 32
 #: bits of each map of words outside the dictionary, 4 MB
@@ -569,12 +569,14 @@ def gain_parts(rows: DataFrame, deal: _Deal, base: np.ndarray, divisor: float =
 
     def learn(blocks: list):
         deal, base = sent.value
-        tag, grams = np.concatenate([t for t, _ in blocks]), np.concatenate([g for _, g in blocks])
+        tag = np.concatenate([t for t, _ in blocks])
+        grams = np.concatenate([g for _, g in blocks])
         blocks.clear()
         count = (tag < 0) & (grams[:, 2] == -1)
         numbers, one = np.unique(grams[count, 3], return_index=True)
         logs = np.r_[base, np.log10((-1 - tag[count][one] + ALPHA) / divisor)]
-        tag, grams = tag[~count], grams[~count]
+        if count.any():
+            tag, grams = tag[~count], grams[~count]
         w = grams[:, 3]
         outside = np.flatnonzero((w < -1) | (w >= HASHED))
         at = _find(numbers, np.where(w[outside] < 0, -2 - w[outside], w[outside] - HASHED))
@@ -582,7 +584,9 @@ def gain_parts(rows: DataFrame, deal: _Deal, base: np.ndarray, divisor: float =
         b, c = grams[:, 1], grams[:, 2]
         bucket = np.where(tag < 0, deal.first[np.where(tag < 0, c, 0)] - 2 - b, deal.buckets(b, c))
         order = np.argsort(bucket, kind="stable")
-        edges = np.r_[np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]), len(order)] if len(order) else [0]
+        if not len(order):
+            return
+        edges = np.r_[np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]), len(order)]
         for lo, hi in zip(edges[:-1], edges[1:]):
             t, (a, b, c, w) = tag[order[lo:hi]], grams[order[lo:hi]].T
             seen = np.where(t >= 0, t & 1, 0).astype(np.float64)
@@ -590,6 +594,8 @@ def gain_parts(rows: DataFrame, deal: _Deal, base: np.ndarray, divisor: float =
             gain = gains(a, b, c, w, seen, seen_first, logs, depth)
             there = (t >= 0) & (gain != 0)
             yield by_row([(t[there] >> 1, gain[there])])
+        del tag, grams, b, c, w, t, a, bucket, order, seen, seen_first, gain, there
+        released()
 
     def run(batches):
         now, blocks, made = None, [], []
