@@ -201,3 +201,31 @@ def test_word_queries(spark, sf_dir):
     for k, (n, likeness) in right.items():
         assert found[k][0] == n and (likeness is None) == (found[k][1] is None)
         assert likeness is None or abs(found[k][1] - likeness) < 1e-9 and found[k][2] == (found[k][1] < corruption.LEAST_SIMILARITY)
+
+
+def _shuffles(df) -> bool:
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["side_scores", "replacement_ranking"])
+def test_unknowns_are_ranked_where_their_span_stands(spark, sf_dir, name):
+    """Scores, a row a byte and place, are many times the input; they must not be shuffled."""
+    assert not _shuffles(catalog.QUERIES[name](spark, sf_dir))
+
+
+def test_ranked_in_the_task_or_by_joins(spark, monkeypatch):
+    text = b"the cat sat on the mat and the rat sat on the hat, then that cat ate the rat on the mat. " * 20
+    c = np.frombuffer(text, dtype=np.uint8).astype("<u4") | np.uint32(C.LITERAL)
+    spans = []
+    for i in range(3):
+        x = c.copy()
+        x[20 + i :: 37] = np.arange(1, len(x[20 + i :: 37]) + 1) % 7 + 1  # unknowns that occur more than once
+        x[11] = C.reconstructed(text[11], 20)
+        spans.append((i, bytearray(x.tobytes())))
+    cells = spark.createDataFrame(spans, "id long, cells binary")
+    model = ngrams.ngram_counts(spark.createDataFrame([("m", bytearray(text))], "model_id string, body binary"), 6)
+    names = ["id", "coindex", "byte", "seen", "occurrences", "pruned", "enough", "confidence"]
+    take = lambda df: sorted(tuple(r[n] for n in names) + (round(r.top, 9), round(r.ranking, 6), round(r.span_best, 6)) for r in reconstruct.with_span_best(df).collect())
+    own = take(reconstruct.ranked_unknowns(cells, model))
+    monkeypatch.setattr(reconstruct.inference, "MOST_GRAMS", 0)
+    assert own == take(reconstruct.ranked_unknowns(cells, model)) and len(own) == 21
