@@ -114,3 +114,40 @@ def test_histogram_of_whole_documents(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = catalog.QUERIES["packet_histogram"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, found)) == [(1, 1), (2, 2), (3, 1)]
+
+
+def _flushed(bodies):
+    c = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return [c.compress(x) + c.flush(zlib.Z_FULL_FLUSH) for x in bodies] + [c.flush()]
+
+
+def test_a_block_that_ends_within_the_damage_is_not_read_on():
+    """The codes known before the damage say nothing about the block behind it."""
+    words = [f"word{k * 7919 % 997} ".encode() for k in range(4000)]
+    for shift in range(0, 60, 4):
+        first, second = b"".join(words[:1500]), b"".join(reversed(words[1500:]))
+        parts = _flushed([first, second])
+        packed = b"".join(parts)
+        lo = len(parts[0]) - 64 + shift
+        damaged = packed[:lo] + b"\xaa" * 64 + packed[lo + 64 :]
+        found = np.array(D.recover(damaged, True, (lo, lo + 64)).cells, dtype="<u4")
+        tail = found[np.flatnonzero(C.is_marker(found))[-1] + 1 :] if C.is_marker(found).any() else found[:0]
+        there = np.frombuffer(first + second, dtype=np.uint8)
+        there = there[len(there) - len(tail) :]
+        assert ((tail & 0xFF) == there)[C.is_known(tail)].all()
+
+
+def test_fixed_blocks_behind_a_flush_are_found():
+    parts = _flushed([b"a text whose head is lost " * 9, b"short", b"and this"])
+    found = np.array(D.recover(b"".join(parts)[5:], False).cells, dtype="<u4")
+    assert C.plain_text(found).endswith(b"shortand this")
+
+
+@pytest.mark.parametrize("bodies", [[b"one text, " * 3 + bytes(range(97, 123))], [b"x" * 40_000, b"abc def"], [b"abc def ghi jkl" * 3, b"y" * 40_000], [b""], [b"a"]])
+@pytest.mark.parametrize("turn", [0, 1, 2])
+def test_damage_leaves_a_fifth(bodies, turn):
+    from tidewrack.plans import catalog
+
+    body, known, lo, hi, _, whole = catalog._damage(bodies, turn)
+    found = np.array(D.recover(body, known, None if lo is None else (lo, hi)).cells, dtype="<u4")
+    assert C.is_known(found).sum() * 5 >= len(whole)
