@@ -134,3 +134,23 @@ def test_alignment_fills_from_before_the_gap():
     c = np.concatenate([before, np.array([C.DISCONTINUITY], np.uint32), after]).astype(np.uint32)
     out = reconstruct._align(c, None, known)
     assert (out[601:] == (C.INFERRED | text[500:540])).all()
+
+
+def test_boundaries_of_many_bodies_are_those_of_each():
+    """Bodies are cut together, by a table of pairs; each must come out as the rules say of it alone."""
+    import random
+
+    r = random.Random(5)
+    bodies = [bytes(r.choice(b"ab1 <>/&#-'.,?\x7f\xc3\xa9\xa0\xd7Z;\n") for _ in range(r.randrange(40))) for _ in range(2000)]
+    bodies += [b"x" * n for n in (249, 250, 600)] + [b"?", b"? ", b"a? ?"]
+    for utf8 in (True, False):
+        _, _, found = words.all_boundaries(bodies, utf8)
+        each = []
+        for x in bodies:
+            c = np.frombuffer(b"\0a" + x + b"\0", dtype=np.uint8)
+            pp = c[:-3].copy()
+            pp[:2] = 0
+            each.append(words._rules(pp, c[1:-2], c[2:-1], c[3:], utf8))
+        assert (np.concatenate(each) == found).all()
+        together, of = words.all_words(bodies, utf8)
+        assert [(w, k) for k, x in enumerate(bodies) for w in words.words(x, utf8)] == list(zip(together, of.tolist()))
