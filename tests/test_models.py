@@ -154,3 +154,17 @@ def test_boundaries_of_many_bodies_are_those_of_each():
         assert (np.concatenate(each) == found).all()
         together, of = words.all_words(bodies, utf8)
         assert [(w, k) for k, x in enumerate(bodies) for w in words.words(x, utf8)] == list(zip(together, of.tolist()))
+
+
+def test_windows_of_bodies_are_those_of_places(spark):
+    text = b"one two three four five six seven eight nine ten eleven twelve, and so on it goes; " * 30
+    rows = [(k, bytearray(text[k:] + (b"zq xv jj wq kk " * 40 if k % 2 else b"") + text[: 200 * k])) for k in range(6)] + [(7, bytearray(b"")), (8, None)]
+    df = spark.createDataFrame(rows, "id int, body binary")
+    places = words.word_places(df).cache()
+    known = spark.createDataFrame([(bytearray(w),) for w in set(words.words(text))], "word binary")
+    take = lambda x: sorted(tuple(r[c] for c in ("id", "window", "words")) + ((r["unknown"],) if "unknown" in x.columns else (r["similarity"],)) + (r["corrupt"],) for r in x.collect())
+    in_bodies = corruption.unknown_words_in(df, known)
+    assert take(in_bodies) == take(corruption.unknown_words(places, known)) and any(r[-1] for r in take(in_bodies))
+    own = corruption.odd_lengths_in(df)
+    assert take(own) == take(corruption.odd_lengths(places)) and any(r[-1] for r in take(own))
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
