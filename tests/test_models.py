@@ -168,3 +168,14 @@ def test_windows_of_bodies_are_those_of_places(spark):
     own = corruption.odd_lengths_in(df)
     assert take(own) == take(corruption.odd_lengths(places)) and any(r[-1] for r in take(own))
     assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+
+
+def test_languages_of_bodies_are_scored_in_their_task(spark):
+    rows = [(1, "a", "the cat and the dog and the hat"), (2, "b", "der hund und die katze und der hut"), (3, "a", "the hund"), (4, "b", "zz"), (5, "b", "")]
+    df = spark.createDataFrame(rows, "id int, model_id string, body string").withColumn("body", F.encode("body", "UTF-8"))
+    profile = language.profiles(ngrams.ngram_counts(df.select("model_id", "body"), 3))
+    samples = ngrams.ngram_counts(df.select(F.col("id").cast("string").alias("model_id"), "body"), 3).where("n = 3").select(F.col("model_id").cast("int").alias("id"), "gram", "freq")
+    take = lambda x: sorted((r.id, r.model_id, round(r.score, 9)) for r in x.collect())
+    found = language.scores_in(df.select("id", "body"), profile)
+    assert take(found) == take(language.scores(samples, profile)) and len(take(found)) > 3
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.native import byte_slices
+
 SECOND_SHARE = 0.8
 
 
@@ -25,6 +28,43 @@ def scores(samples: DataFrame, profile: DataFrame) -> DataFrame:
     return dots.join(size, "id").join(F.broadcast(norms), "model_id").select("id", "model_id", (F.col("dot") / (F.col("size") * F.col("norm"))).alias("score"))
 
 
+def scores_in(bodies: DataFrame, profile: DataFrame) -> DataFrame:
+    """scores of bodies (id, body; ids are unique) against profiles of grams of three bytes, each body in its task."""
+    import pyarrow as pa
+
+    table = profile.where("model_id IS NOT NULL").select("model_id", F.conv(F.hex("gram"), 16, 10).cast("long").alias("code"), "p").toPandas()
+    models = sorted(table["model_id"].unique())
+    codes = np.unique(table["code"].to_numpy(dtype=np.int64))
+    shares = np.zeros((len(codes), len(models)))
+    shares[np.searchsorted(codes, table["code"]), np.searchsorted(models, table["model_id"])] = table["p"]
+    # which of codes a gram is, or their number
+    place = np.full(1 << 24, len(codes), dtype=np.uint16 if len(codes) < 65535 else np.uint32)
+    place[codes] = np.arange(len(codes))
+    sent = bodies.sparkSession.sparkContext.broadcast((models, shares, place))
+    kind = bodies.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        models, shares, place = sent.value
+        n, norms, used = len(shares), np.sqrt((shares**2).sum(0)), (shares > 0).astype(np.float64)
+        for b in byte_slices(batches, "body"):
+            texts = [x or b"" for x in b.column("body").to_pylist()]
+            lengths = np.array([len(x) for x in texts], dtype=np.int64)
+            data = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int32)
+            of = np.repeat(np.arange(len(texts)), lengths)
+            found = place[data[:-2] << 16 | data[1:-1] << 8 | data[2:]]
+            kept = (found < n) & (of[:-2] == of[2:])
+            key = of[:-2][kept] * n + found[kept]
+            for lo in range(0, len(texts), 256):
+                hi = min(len(texts), lo + 256)
+                counts = np.bincount(key[slice(*np.searchsorted(key // n if n else key, (lo, hi)))] - lo * n, minlength=(hi - lo) * n).reshape(hi - lo, n).astype(np.float64)
+                size = np.sqrt((counts**2).sum(1))
+                row, model = np.nonzero(counts @ used)
+                score = (counts @ shares)[row, model] / (size[row] * norms[model])
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(lo + row)), pa.array([models[m] for m in model.tolist()], pa.string()), pa.array(score)], ["id", "model_id", "score"])
+
+    return bodies.select("id", "body").mapInArrow(run, f"id {kind}, model_id string, score double")
+
+
 def best(scored: DataFrame) -> DataFrame:
     """(id, model_id, score): the best model of each id; ties go to the lower model_id."""
     order = Window.partitionBy("id").orderBy(F.desc("score"), "model_id")
