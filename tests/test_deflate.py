@@ -151,3 +151,15 @@ def test_damage_leaves_a_fifth(bodies, turn):
     body, known, lo, hi, _, whole = catalog._damage(bodies, turn)
     found = np.array(D.recover(body, known, None if lo is None else (lo, hi)).cells, dtype="<u4")
     assert C.is_known(found).sum() * 5 >= len(whole)
+
+
+def test_blocks_by_zlib_are_the_kernels():
+    r = random.Random(3)
+    text = " ".join(r.choice(["one", "two", "three", "seventeen", str(r.random())]) for _ in range(60_000)).encode()
+    streams = [pack(text[:n], level) for n in (0, 1, 5, 40, 3000, 200_000, len(text)) for level in (0, 1, 6, 9)]
+    streams += [pack(text[:5000], flush=700), pack(text[:9000], strategy=zlib.Z_FIXED), pack(bytes(r.randrange(256) for _ in range(90_000)))]
+    for x in streams:
+        found = D._whole_blocks(x)
+        assert found == D._decoded_blocks(x) and found[-1].final
+    assert D._whole_blocks(streams[8][:-20]) is None and D._whole_blocks(b"") is None
+    assert D.recover_blocks(streams[-1][:-20]) == D._decoded_blocks(streams[-1][:-20])
