@@ -229,3 +229,11 @@ def test_ranked_in_the_task_or_by_joins(spark, monkeypatch):
     own = take(reconstruct.ranked_unknowns(cells, model))
     monkeypatch.setattr(reconstruct.inference, "MOST_GRAMS", 0)
     assert own == take(reconstruct.ranked_unknowns(cells, model)) and len(own) == 21
+
+
+def test_a_large_model_is_mapped_and_gives_the_same(spark, model, holed, monkeypatch):
+    cells = holed.select("id", "cells")
+    sent = sorted((r.id, bytes(r.cells)) for r in reconstruct.reconstruct(cells, model).collect())
+    monkeypatch.setattr(inference, "MOST_GRAMS", 0)
+    monkeypatch.setattr(reconstruct, "position_scores", lambda *a: pytest.fail("rounds are joins"))
+    assert sorted((r.id, bytes(r.cells)) for r in reconstruct.reconstruct(cells, model).collect()) == sent
