@@ -114,3 +114,16 @@ def test_status_and_policies(spark, tmp_path):
         sinks.settled_names(names, names, "ask")
     assert sinks.settled_names(names, names.where("false")).first().written_as == "a"
     sinks.discarded(names)
+
+
+def test_kernels_take_batches_in_slices():
+    """Cells are four times their bytes: no kernel on them may take an Arrow batch (64 MB) at once."""
+    import inspect
+
+    from tidewrack.operators import deflate, reconstruct
+    from tidewrack.plans import cases
+    from tidewrack.sources import sinks
+
+    for module in (deflate, reconstruct, sinks, cases):
+        source = inspect.getsource(module)
+        assert "in byte_slices(batches" in source and "for b in batches:" not in source
